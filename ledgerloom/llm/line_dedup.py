@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lower_ascii
+from .common import SPACE_CHARS, lower_ascii, materialise
 
 MIN_DOCUMENTS = 10
 
@@ -25,7 +25,8 @@ def line_key(line):
 
 def exploded_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _text_hash, _pos and the key's hash (two longs with unlike seeds, so that chance collisions don't matter)."""
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
+    keys = F.transform(F.split(text_col, "\n"), line_key)
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.posexplode(keys).alias("_pos", "_key"))
     return lines.where(F.length("_key") >= 1).select("_id", "_text_hash", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
 
 
@@ -37,10 +38,10 @@ def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """id, keep, text without frequent lines, n_lines (before), n_dropped; a row for each row of docs."""
-    lines = exploded_lines(docs, id_col, text_col)
+    lines = materialise(exploded_lines(docs, id_col, text_col))  # read twice below; some 30 bytes a line
     dropped = lines.join(frequent_lines(lines, min_documents), ["_h1", "_h2"], "left_semi").groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_drop"))
     own = docs.select(F.col(id_col).alias("_own_id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_own_hash"))
-    joined = own.join(dropped, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_text_hash")), "left")
+    joined = own.join(dropped.hint("shuffle_hash"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_text_hash")), "left")
     text = F.coalesce("_text", F.lit(""))
     parts = F.split("_text", "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop")  # linear, in order
