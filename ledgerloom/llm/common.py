@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,17 @@ def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is the fast way where all characters are ASCII."""
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that functions run there can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="ship-")) / "ledgerloom_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._ledgerloom_shipped = True

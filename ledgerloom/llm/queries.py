@@ -7,12 +7,14 @@ from .line_dedup import dedup_digest
 from .quality import quality_rules
 from .secrets import secret_digest
 from .simhash import near_duplicate_digest
+from .token_counts import token_counts
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules(read(spark, d, "documents")),
     "op2_line_dedup": lambda spark, d: dedup_digest(read(spark, d, "documents")),
     "op3_simhash_near_dedup": lambda spark, d: near_duplicate_digest(read(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
+    "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
