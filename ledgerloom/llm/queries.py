@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read
 from .line_dedup import dedup_digest
+from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_digest
 from .simhash import near_duplicate_digest
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash_near_dedup": lambda spark, d: near_duplicate_digest(read(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
+    "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
