@@ -14,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -34,6 +35,9 @@ TABLE_SIZE = 600_000
 K1, B = 1.2, 0.75
 SEPARATOR = "<|startoftext|>"
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+#: Where lower-casing before the library composes and lower-cases characters could differ from its own order of steps.
+UNUSUAL = re.compile("[\u0130\u0300-\u036f\u03a3\u0483-\u0489\u0591-\u1dff\u20d0-\u20ff\u2126\u212a\u212b\u3099\u309a\ufb00-\ufb4f\ufe20-\ufe2f]")
+STOPS = frozenset(".,;:!?")
 BREAKS = str.maketrans("\t\n\r", "   ")
 
 
@@ -59,23 +63,38 @@ class TokenTable:
         self.rows, self.count, self.used = {}, 0, 0
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
+    def store(self, word: str, x: np.ndarray) -> None:
+        if self.count == len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
+        while self.used + len(x) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(x)] = x
+        self.starts[self.count], self.sizes[self.count] = self.used, len(x)
+        self.rows[word] = self.count
+        self.count, self.used = self.count + 1, self.used + len(x)
+
+    def ids(self, word: str) -> np.ndarray:
+        row = self.rows[word]
+        return self.flat[self.starts[row] : self.starts[row] + self.sizes[row]]
+
     def add(self, words: list[str]) -> None:
+        """Letters and one stop behind them are pre-tokens of their own, so such words come from their parts."""
+        two = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in STOPS and w[:-1].isalpha() and w[:-1].islower()}
+        whole = {w for w in words if w not in two}.union(*two.values()).difference(self.rows)
+        for word, x in self.library(sorted(whole)):
+            self.store(word, x)
+        for word, (letters, stop) in two.items():
+            self.store(word, np.concatenate([self.ids(letters), self.ids(stop)]))
+
+    def library(self, words: list[str]):
+        """The ids of many words by one call each for a thousand, with a special token between the words."""
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             plain = [w for w in part if SEPARATOR not in w]
             ids = np.array(self.model.encode(SEPARATOR.join(plain), add_special_tokens=False).ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.separator)) if plain else []
-            found = {w: (x if i == 0 else x[1:]) for i, (w, x) in enumerate(zip(plain, pieces, strict=True))}
-            for w in part:
-                x = found[w] if w in found else np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)
-                if self.count == len(self.starts):
-                    self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
-                while self.used + len(x) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.used : self.used + len(x)] = x
-                self.starts[self.count], self.sizes[self.count] = self.used, len(x)
-                self.rows[w] = self.count
-                self.count, self.used = self.count + 1, self.used + len(x)
+            cuts = [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
+            yield from ((w, ids[a + 1 : b]) for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=bool(plain)))
+            yield from ((w, np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)) for w in part if SEPARATOR in w)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row of each word in the table; all ids."""
@@ -91,7 +110,7 @@ class TokenTable:
 
 
 def words_of(text: str) -> list[str]:
-    if text.isascii():
+    if text.isascii() or not UNUSUAL.search(text):
         text = text.lower()  # as the library does; fewer distinct words
     return [w for w in text.translate(BREAKS).split(" ") if w]
 
