@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .html_extract import extract_main_text
 from .line_dedup import dedup_digest
 from .packing import pack
 from .quality import quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
+    "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
