@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .decontaminate import contaminated
 from .html_extract import extract_main_text
 from .line_dedup import dedup_digest
 from .packing import pack
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_line_dedup": lambda spark, d: dedup_digest(read(spark, d, "documents")),
     "op3_simhash_near_dedup": lambda spark, d: near_duplicate_digest(read(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
+    "op5_benchmark_decontamination": lambda spark, d: contaminated(read(spark, d, "documents"), read(spark, d, "benchmark")).drop("text_hash"),
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
     "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
