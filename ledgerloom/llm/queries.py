@@ -10,6 +10,7 @@ from .packing import pack
 from .quality import quality_rules
 from .secrets import secret_digest
 from .simhash import near_duplicate_digest
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash_near_dedup": lambda spark, d: near_duplicate_digest(read(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
     "op5_benchmark_decontamination": lambda spark, d: contaminated(read(spark, d, "documents"), read(spark, d, "benchmark")).drop("text_hash"),
+    "op6_suffix_array_dedup": lambda spark, d: remove_repeats(read(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
     "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
