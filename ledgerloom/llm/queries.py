@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import read
 from .decontaminate import contaminated
 from .html_extract import extract_main_text
+from .language_id import language_digest
 from .line_dedup import dedup_digest
 from .packing import pack
 from .quality import quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
     "op5_benchmark_decontamination": lambda spark, d: contaminated(read(spark, d, "documents"), read(spark, d, "benchmark")).drop("text_hash"),
     "op6_suffix_array_dedup": lambda spark, d: remove_repeats(read(spark, d, "documents")),
+    "op7_language_id": lambda spark, d: language_digest(read(spark, d, "documents"), read(spark, d, "pages")),
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
     "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
