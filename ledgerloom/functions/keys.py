@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 DOCUMENT_SUFFIXES = ("hwp", "hwpx", "pdf", "xlsx", "xlsm", "xls", "pptx", "ppt", "docx", "doc", "txt", "html", "htm", "csv", "zip")
@@ -14,10 +13,15 @@ VERSION = r"[_-]?[vV]\d+(?:\.\d+)*"
 REQUIREMENT = r"SFR-[A-Za-z0-9-]+"
 
 
-@F.pandas_udf("string")
-def nfkc_fold(values: pd.Series) -> pd.Series:
-    """NFKC and case folding, which Spark SQL lacks."""
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+def nfkc_fold(value: Column) -> Column:
+    """NFKC and case folding, which Spark SQL lacks; the function travels with the plan."""
+
+    def fold(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+    return F.pandas_udf(fold, StringType())(value)
 
 
 def folded(value: Column) -> Column:

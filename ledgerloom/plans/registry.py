@@ -1,5 +1,10 @@
 """All registered queries of the reconciliation operators, with the SQL that gives the same rows."""
 
+from . import completeness, matching, records, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+for module in (completeness, records, matching, texts):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
+FLAGSHIP = "role_complete"
