@@ -26,7 +26,7 @@ def role_complete(spark, d):
 
 
 @book.query("""WITH k AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list_sort(list(DISTINCT event_type)) AS have FROM events GROUP BY ALL)
-SELECT user_id, day, array_to_string(list_filter(['click','error','purchase','signup','view'], x -> NOT list_contains(have, x)), ',') AS missing FROM k WHERE len(have) < 5""")
+SELECT user_id, day, array_to_string(list_filter(['click','error','purchase','signup','view'], lambda x: NOT list_contains(have, x)), ',') AS missing FROM k WHERE len(have) < 5""")
 def role_gaps(spark, d):
     """Keys that lack roles, with what they lack."""
     return missing_roles(events(spark, d), ["user_id", "day"], "event_type", ROLES).withColumn("missing", F.array_join("missing", ","))
@@ -72,18 +72,18 @@ def status_histogram(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("SELECT event_id, last_value(CASE WHEN event_type='signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS parent_id FROM events")
+@book.query("SELECT event_id, coalesce(last_value(CASE WHEN event_type='signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS parent_id FROM events")
 def forward_fill_parent(spark, d):
     """Rows take the last parent id above them."""
-    return forward_fill(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], {"parent_id": F.when(F.col("event_type") == "signup", F.col("event_id"))}).select("event_id", "parent_id")
+    return forward_fill(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], {"parent_id": F.when(F.col("event_type") == "signup", F.col("event_id"))}).select("event_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
 
 
-@book.query("""SELECT event_id, last_value(CASE WHEN event_type='signup' THEN event_id END IGNORE NULLS) OVER w AS level1, last_value(CASE WHEN event_type='purchase' THEN event_id END IGNORE NULLS) OVER w AS level2, last_value(CASE WHEN event_type='error' THEN event_id END IGNORE NULLS) OVER w AS level3
+@book.query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type='signup' THEN event_id END IGNORE NULLS) OVER w, -1) AS level1, coalesce(last_value(CASE WHEN event_type='purchase' THEN event_id END IGNORE NULLS) OVER w, -1) AS level2, coalesce(last_value(CASE WHEN event_type='error' THEN event_id END IGNORE NULLS) OVER w, -1) AS level3
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def hierarchical_fill(spark, d):
     """Three indent levels; a deeper level stays when a higher one changes."""
     level = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id"))
-    return forward_fill(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], {"level1": level("signup"), "level2": level("purchase"), "level3": level("error")}).select("event_id", "level1", "level2", "level3")
+    return forward_fill(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], {"level1": level("signup"), "level2": level("purchase"), "level3": level("error")}).select("event_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("level1", "level2", "level3")])
 
 
 @book.query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM events) WHERE p IS NULL OR p <> event_type")

@@ -39,12 +39,12 @@ def earliest_record(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.min("o_orderdate").alias("o_orderdate"))
 
 
-@book.query("SELECT o_orderkey, count(DISTINCT l_suppkey) AS n_suppliers, CASE count(DISTINCT l_suppkey) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status, min(l_suppkey) AS supplier FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1")
+@book.query("SELECT o_orderkey, count(DISTINCT l_suppkey) AS n_suppliers, CASE count(DISTINCT l_suppkey) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(min(l_suppkey), -1) AS supplier FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1")
 def choose_record_status(spark, d):
     """Matched, ambiguous or unmatched by the number of distinct records."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct().groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("supplier"))
     n = F.coalesce("n", F.lit(0))
-    return table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", n.alias("n_suppliers"), F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("ambiguous").alias("status"), "supplier")
+    return table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", n.alias("n_suppliers"), F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.coalesce("supplier", F.lit(-1)).alias("supplier"))
 
 
 @book.query("SELECT c_custkey, coalesce(n_name, 'SFR-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS requirement FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
@@ -97,7 +97,7 @@ def requirement_fanout(spark, d):
 
 
 @book.query("""WITH n AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS have, max(l_linenumber) AS m FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_filter(range(1, m + 1), x -> NOT list_contains(have, x)), ',') AS missing FROM n WHERE len(have) < m""")
+SELECT l_orderkey, array_to_string(list_filter(range(1, m + 1), lambda x: NOT list_contains(have, x)), ',') AS missing FROM n WHERE len(have) < m""")
 def sequence_gaps(spark, d):
     """Numbers of 1..max that an order lacks."""
     n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("have"), F.max("l_linenumber").alias("m"))
