@@ -31,14 +31,13 @@ WINDOW = 4096
 END = 2
 SHARD_DOCS = 4096
 SHARD_TOKENS = 8_000_000
-TABLE_SIZE = 600_000
+TABLE_SIZE = 1_200_000
 K1, B = 1.2, 0.75
 SEPARATOR = "<|startoftext|>"
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Where lower-casing before the library composes and lower-cases characters could differ from its own order of steps.
 UNUSUAL = re.compile("[\u0130\u0300-\u036f\u03a3\u0483-\u0489\u0591-\u1dff\u20d0-\u20ff\u2126\u212a\u212b\u3099\u309a\ufb00-\ufb4f\ufe20-\ufe2f]")
 STOPS = frozenset(".,;:!?")
-BREAKS = str.maketrans("\t\n\r", "   ")
 
 
 @lru_cache(maxsize=2)
@@ -51,55 +50,69 @@ def tokenizer(path: str):
     return t
 
 
+def byte_characters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class TokenTable:
     """Word -> ids as the library gives them. The vocabulary drops white space, so words can be encoded apart."""
 
     def __init__(self, path: str, size: int = TABLE_SIZE):
         self.model, self.size = tokenizer(path), size
-        self.separator = self.model.token_to_id(SEPARATOR)
+        self.bpe, self.separator = self.model.model, self.model.token_to_id(SEPARATOR)
+        self.stops = {s: self.model.encode(s, add_special_tokens=False).ids for s in STOPS}
+        self.byte = byte_characters()
         self.clear()
 
     def clear(self):
-        self.rows, self.count, self.used = {}, 0, 0
+        self.rows, self.used = {}, 0
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
-    def store(self, word: str, x: np.ndarray) -> None:
-        if self.count == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
-        while self.used + len(x) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(x)] = x
-        self.starts[self.count], self.sizes[self.count] = self.used, len(x)
-        self.rows[word] = self.count
-        self.count, self.used = self.count + 1, self.used + len(x)
-
-    def ids(self, word: str) -> np.ndarray:
-        row = self.rows[word]
-        return self.flat[self.starts[row] : self.starts[row] + self.sizes[row]]
+    def letters(self, word: str) -> list[int]:
+        """Lower-case letters are one pre-token, which the library's BPE takes as byte characters."""
+        return [t.id for t in self.bpe.tokenize(word if word.isascii() else "".join([self.byte[b] for b in word.encode()]))]
 
     def add(self, words: list[str]) -> None:
-        """Letters and one stop behind them are pre-tokens of their own, so such words come from their parts."""
-        two = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in STOPS and w[:-1].isalpha() and w[:-1].islower()}
-        whole = {w for w in words if w not in two}.union(*two.values()).difference(self.rows)
-        for word, x in self.library(sorted(whole)):
-            self.store(word, x)
-        for word, (letters, stop) in two.items():
-            self.store(word, np.concatenate([self.ids(letters), self.ids(stop)]))
+        """Letters, and a stop behind them, are pre-tokens of their own; other words go through the whole library."""
+        found, other = [], []
+        for w in words:
+            core, stop = (w[:-1], w[-1]) if w[-1] in STOPS else (w, "")
+            if core.isalpha() and core.islower() and not UNUSUAL.search(core):
+                found.append(self.letters(core) + self.stops[stop] if stop else self.letters(core))
+            else:
+                found.append(None)
+                other.append(w)
+        others = dict(self.library(other))
+        found = [others[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, total = len(self.rows), int(sizes.sum())
+        while n + len(words) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(words)] = sizes
+        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += total
 
     def library(self, words: list[str]):
         """The ids of many words by one call each for a thousand, with a special token between the words."""
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             plain = [w for w in part if SEPARATOR not in w]
-            ids = np.array(self.model.encode(SEPARATOR.join(plain), add_special_tokens=False).ids, np.uint32)
-            cuts = [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
+            ids = self.model.encode(SEPARATOR.join(plain), add_special_tokens=False).ids
+            cuts = [-1, *[i for i, x in enumerate(ids) if x == self.separator], len(ids)]
             yield from ((w, ids[a + 1 : b]) for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=bool(plain)))
-            yield from ((w, np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint32)) for w in part if SEPARATOR in w)
+            yield from ((w, self.model.encode(w, add_special_tokens=False).ids) for w in part if SEPARATOR in w)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row of each word in the table; all ids."""
         new = set(words).difference(self.rows)
-        if self.count + len(new) > self.size and self.count:
+        if len(self.rows) + len(new) > self.size and self.rows:
             self.clear()
             new = set(words)
         self.add(sorted(new))
@@ -112,7 +125,14 @@ class TokenTable:
 def words_of(text: str) -> list[str]:
     if text.isascii() or not UNUSUAL.search(text):
         text = text.lower()  # as the library does; fewer distinct words
-    return [w for w in text.translate(BREAKS).split(" ") if w]
+    words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return [w for w in words if w] if "" in words else words
+
+
+@lru_cache(maxsize=1)
+def token_table(path: str) -> TokenTable:
+    """One per worker process: tasks that follow find its words. What it holds never changes a result."""
+    return TokenTable(path)
 
 
 class Index:
@@ -149,7 +169,7 @@ class Packer:
     def __init__(self, first_sequence: int, window: int = WINDOW):
         self.sequence, self.window, self.open, self.fill = first_sequence, window, [], 0
 
-    def put(self, doc_id, ids: np.ndarray, start: int, most: int | None = None) -> int:
+    def put(self, doc_id, ids: np.ndarray, start: int) -> int:
         """Puts ids from start on into the open window; the place after the last id put."""
         stop = min(len(ids), start + self.window - self.fill)
         self.open.append((doc_id, ids, start, stop))
@@ -222,7 +242,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     id_type = own.schema["doc_id"].dataType
 
     def run(batches):
-        table = TokenTable(path or public_tokenizers.path("word_bpe_49k.json"))
+        table = token_table(path or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(TaskContext.get().partitionId() << 36, window)
         held, terms, tokens, arrow_id = [], [], 0, None
 
