@@ -9,7 +9,7 @@ from .language_id import language_digest
 from .line_dedup import dedup_digest
 from .packing import pack
 from .quality import quality_rules
-from .secrets import secret_digest
+from .secrets import KINDS, SCOPE, STRONG, WEAK, secret_digest
 from .simhash import near_duplicate_digest
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -27,4 +27,49 @@ QUERIES = {
     "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1 = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, {WORDS} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) > 8),
+s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM x),
+r AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS k FROM s WHERE n > 1),
+rep AS (SELECT doc_id, sum(k) AS n_repeat_words FROM r GROUP BY 1),
+c AS (SELECT doc_id, coalesce(source, chr(0)) AS host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, unnest(['short', 'long_words', 'short_words', 'symbols', 'dup_lines', 'repeats']) AS rule,
+ unnest([n_words < 40, word_chars > 14 * n_words, 2 * word_chars < 5 * n_words, 5 * n_symbols > n_words, 10 * n_dup_lines > n_words, 5 * n_repeat_words > n_words]) AS fails FROM c),
+h AS (SELECT host, rule, count(*) AS n, count(*) FILTER (fails) AS k FROM f GROUP BY ALL),
+m AS (SELECT rule, avg(k / n) AS m, var_samp(k / n) AS v FROM h GROUP BY 1),
+q AS (SELECT rule, m, greatest(coalesce(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 END, 1.0), 1.0) AS a FROM m),
+v AS (SELECT host, rule, (k + m * a) / (n + a) AS rate FROM h JOIN q USING (rule)),
+b AS (SELECT doc_id, bool_or(fails AND rate > 0.5) AS host_failed FROM f JOIN v USING (host, rule) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, host_failed,
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT host_failed AS kept FROM c JOIN b USING (doc_id)"""
+
+OP2 = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN f ON k.key = f.key GROUP BY 1"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for kind, (pattern, group) in (STRONG | WEAK).items():
+        n = KINDS.index(kind)
+        p = pattern.replace("'", "''")
+        least = {"assign": 6, "access": 20}.get(kind, 1)
+        value = 2 if kind == "assign" else 0
+        parts.append(
+            f"SELECT doc_id, {n} AS ord, '{kind}' AS kind, '{group}' AS class, s, s + length(m[i]) AS e FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM ("
+            f"SELECT doc_id, m, g, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {value}) AS v, string_split_regex(t, '{p}') AS g FROM d))) WHERE length(v[i]) >= {least}"
+        )
+    strong = ", ".join(f"'{k}'" for k in STRONG)
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(parts)}),
+r AS (SELECT * FROM a WHERE kind IN ({strong}) OR EXISTS (SELECT 1 FROM a o WHERE o.doc_id = a.doc_id AND o.class <> a.class AND abs(o.s - a.s) <= {SCOPE}))
+SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (kind IN ({strong})), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE_SQL = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_secret_scan": _secrets_sql()}
