@@ -83,3 +83,33 @@ def test_status_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("status_now").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination()
     assert {(r.job, r.status) for r in spark.table("status_now").collect()} == {("a", "done"), ("b", "queued")}
+
+
+def test_similarity_and_completion(spark):
+    from difflib import SequenceMatcher
+
+    from ledgerloom.functions.completion import completed, json_object
+    from ledgerloom.functions.similarity import title_similarity
+
+    pairs = [("risk register", "risk registers"), ("abc", "abc"), ("plan", "register of risks"), ("ab", "abc")]
+    expected = [0.9, 1.0, SequenceMatcher(None, *pairs[2]).ratio(), SequenceMatcher(None, *pairs[3]).ratio()]
+    assert values(spark, title_similarity(F.col("a"), F.col("b")), *pairs) == expected
+
+    def ask(prompt):
+        if prompt == "bad":
+            raise TimeoutError("late")
+        return 'Here: {"n": 3} done'
+
+    out = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "i int, p string").select("i", completed(F.col("p"), ask).alias("c")).select("i", "c.*", json_object(F.col("c.text"), "n int").alias("o")).orderBy("i").collect()
+    assert out[0].o.n == 3 and out[1].error == "TimeoutError: late" and out[1].o is None and out[2].text is None
+
+
+def test_header_quadruple_and_states(spark):
+    from ledgerloom.operators.cells import sliding_four
+    from ledgerloom.operators.status import cover_status
+
+    cells = spark.createDataFrame([("f", 1, c, t) for c, t in enumerate(["MFDS-PMC-06", "v1.0", "2024-01-02", "Kim", "x"])] + [("g", 1, c, t) for c, t in enumerate(["MFDS-PMC-07", "nope", "2024-01-02", "Kim"])], "path string, row int, col int, text string")
+    out = sliding_four(cells, ["path"], r"^[A-Z]+-[A-Z]+-\d\d$", r"^[vV]?\d+(\.\d+)*$", r"^\d{4}-\d\d?-\d\d?$").collect()
+    assert [(r.path, r.code, r.version, r.date, r.author) for r in out] == [("f", "MFDS-PMC-06", "v1.0", "2024-01-02", "Kim")]
+    rows = spark.createDataFrame([("a", "b", "t", "u", 2, ""), ("a", "b", "t", "u", 1, ""), ("a", "a", "t", "t", 0, ""), ("a", "b", "t", "t", 0, "boom"), ("a", "b", "t", "t", 0, None)], "a string, b string, c string, d string, n int, e string")
+    assert [r[0] for r in rows.select(cover_status("a", "b", "c", "d", "n", "e")).collect()] == ["updated", "partial", "unchanged", "failed", "unchanged"]
