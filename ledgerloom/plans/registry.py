@@ -1,10 +1,10 @@
 """All registered queries of the reconciliation operators, with the SQL that gives the same rows."""
 
-from . import completeness, extraction, matching, records, texts
+from . import completeness, extraction, matching, records, reports, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for module in (completeness, records, matching, texts, extraction):
+for module in (completeness, records, matching, texts, extraction, reports):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 FLAGSHIP = "role_complete"
