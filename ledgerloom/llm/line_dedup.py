@@ -39,7 +39,8 @@ def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """id, keep, text without frequent lines, n_lines (before), n_dropped; a row for each row of docs."""
     lines = materialise(exploded_lines(docs, id_col, text_col))  # read twice below; some 30 bytes a line
-    dropped = lines.join(frequent_lines(lines, min_documents), ["_h1", "_h2"], "left_semi").groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_drop"))
+    frequent = materialise(frequent_lines(lines, min_documents))  # a few of the hashes; of known size when the join is planned
+    dropped = lines.join(frequent, ["_h1", "_h2"], "left_semi").groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_drop"))
     own = docs.select(F.col(id_col).alias("_own_id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_own_hash"))
     joined = own.join(dropped.hint("shuffle_hash"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_text_hash")), "left")
     text = F.coalesce("_text", F.lit(""))
