@@ -43,3 +43,18 @@ def test_one_of_each_group_stays_and_leaks_go(spark, sf_dir, stages):
 def test_packing_has_every_document(stages):
     assert {r[0] for r in stages[4].select("doc_id").collect()} == {r[0] for r in stages[3].select("doc_id").collect()}
     assert corpus_pipeline.run
+
+
+def test_near_dedup_keeps_rows_without_ids(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    third = " ".join(f"u{i}" for i in range(80))
+    rows = [(None, long, "en", None, 1), (None, other, "en", None, 1), (None, other, "en", None, 1), (3, third, "en", None, 1), (3, third, "en", None, 1), (None, third, "en", None, 1), (9, third + " x", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or -1, r.text[:2]) for r in left) == [(-1, "v0"), (-1, "w0"), (3, "u0")]
+
+
+def test_stages_take_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert all(stage(spark, docs, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES)
