@@ -303,6 +303,8 @@ def test_token_counts(docs, rows, empty):
         n = len(model.encode(t or ""))
         assert tuple(out.loc[i]) == (len((t or "").encode()), n, n > 4096), i
     assert token_counts(empty).count() == 0
+    many = by_id(token_counts(docs, slice_bytes=3000, slice_docs=7), len(rows))  # slices meet in the buckets
+    assert many.sort_index().equals(out.sort_index())
 
 
 def test_packing(docs, rows, empty):
