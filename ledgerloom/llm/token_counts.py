@@ -31,7 +31,7 @@ from .common import materialise, ship_package
 
 LIMIT = 4096
 SLICE_BYTES = 16_000_000
-SLICE_DOCS = 1 << 16  # a document's place in its slice is two bytes
+SLICE_DOCS = 1 << 16
 MARK = "▁"  # the model's own sign for a space
 
 
@@ -73,6 +73,19 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def gaps(holders: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The first holder of each pre-token as it is, the others as steps from the one before."""
+    first = np.cumsum(spread) - spread
+    out = np.diff(holders, prepend=0)
+    out[first] = holders[first]
+    return out
+
+
+def from_gaps(steps: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    total, first = np.cumsum(steps, dtype=np.int64), np.cumsum(spread, dtype=np.int64) - spread
+    return total - np.repeat(total[first] - steps[first], spread)
+
+
 class Slice:
     """Pre-tokens of consecutive documents, each with its holders."""
 
@@ -97,7 +110,7 @@ class Slice:
         holder = np.repeat(np.arange(len(self.ids)), [len(h) for h in self.held])
         by_word = np.argsort(held, kind="stable")
         spread = np.bincount(held, minlength=len(words))
-        yield slice_id, None, None, None, self.ids, self.n_bytes, holder[by_word].astype("<u2").tobytes(), planes(np.concatenate(self.times)[by_word]), planes(spread)
+        yield slice_id, None, None, None, self.ids, self.n_bytes, planes(gaps(holder[by_word], spread)), planes(np.concatenate(self.times)[by_word]), planes(spread)
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(words)], strict=False):  # no cuts if there are no words
             part = [words[i] for i in order[a:b]]
@@ -162,10 +175,10 @@ def sum_pieces(slices: DataFrame, pieces: DataFrame, id_type: str) -> DataFrame:
     def run(slices: pa.Table, pieces: pa.Table) -> pa.Table:
         counts = [from_planes(x) for x in pieces.sort_by("bucket").column("pieces").to_pylist()]
         row = {c: slices.column(c)[0] for c in slices.column_names}
-        holders, times, spread = np.frombuffer(row["holders"].as_py(), "<u2"), from_planes(row["times"].as_py()), from_planes(row["spread"].as_py())
+        steps, times, spread = (from_planes(row[c].as_py()) for c in ("holders", "times", "spread"))
         each = np.repeat(np.concatenate(counts) if counts else spread[:0], spread) * times.astype(np.int64)
         sums = np.zeros(len(row["n_bytes"].values), np.int64)
-        np.add.at(sums, holders, each)
+        np.add.at(sums, from_gaps(steps, spread), each)
         return pa.table({"doc_id": row["doc_ids"].values, "n_bytes": row["n_bytes"].values, "n_tokens": sums})
 
     return slices.groupBy("slice").cogroup(pieces.groupBy("slice")).applyInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
@@ -178,7 +191,7 @@ def token_counts(
     spark = docs.sparkSession
     ship_package(spark)
     buckets = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = materialise(frequencies(docs, id_col, text_col, buckets, slice_bytes, min(slice_docs, SLICE_DOCS)))
+    found = materialise(frequencies(docs, id_col, text_col, buckets, slice_bytes, slice_docs), compression="zstd")
     words = found.where("bucket is not null").select("slice", "bucket", "words", "lengths")
     slices = found.where("bucket is null").select("slice", "doc_ids", "n_bytes", "holders", "times", "spread")
     pieces = count_pieces(words, path or public_tokenizers.path("piece_bpe_32k.model"))
