@@ -82,10 +82,10 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str,
 def host_rates(failures: DataFrame, rules: dict) -> DataFrame:
     """Host verdicts: per rule the failure rate shrunk by a beta prior whose mean and weight come from all hosts."""
     sums = failures.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"f_{r}").cast("long")).alias(r) for r in rules])
-    prior = sums.agg(*[x for r in rules for x in (F.avg(F.col(r) / F.col("n")).alias(f"m_{r}"), F.var_samp(F.col(r) / F.col("n")).alias(f"v_{r}"))])
-    out = sums.crossJoin(F.broadcast(prior))  # one row
+    prior = sums.agg(*[x for r in rules for x in (F.avg(F.col(r) / F.col("n")).alias(f"m_{r}"), F.var_samp(F.col(r) / F.col("n")).alias(f"v_{r}"))]).first()
+    out = sums
     for r in rules:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        m, v = (F.lit(prior[f"{x}_{r}"]).cast("double") for x in "mv")
         # weight of the prior in documents; hosts that all agree (variance 0 or one host) tell nothing, then one document
         weight = F.greatest(F.coalesce(F.when(v > 0, m * (1 - m) / v - 1), F.lit(1.0)), F.lit(1.0))
         out = out.withColumn(f"rate_{r}", (F.col(r) + m * weight) / (F.col("n") + weight))
