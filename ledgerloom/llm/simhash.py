@@ -115,18 +115,16 @@ def dense_links(fingerprints: DataFrame) -> DataFrame:
     """Exact links of dense groups: a star for each word that is at most 2 flips from several fingerprints (at most 2081)."""
     flips = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)]
     signed = [x - (1 << 64) if x >> 63 else x for x in flips]
-    masks = fingerprints.sparkSession.createDataFrame([(x,) for x in signed], "flip bigint")  # 2081 rows
-    near = fingerprints.crossJoin(F.broadcast(masks)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
+    near = fingerprints.select("fp", F.explode(F.lit(signed).cast("array<bigint>")).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
     least = near.groupBy("word").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return near.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def fingerprint_links(fingerprints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Distinct fp (long) -> links a, b that connect exactly what pairs within RADIUS connect."""
-    from pyspark.sql import Window
-
-    keyed = fuzzy_keys(fingerprints).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    keyed = materialise(keyed)  # what shares a key, a small part of all
+    keyed = fuzzy_keys(fingerprints)
+    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # summed before the shuffle
+    keyed = materialise(keyed.join(shared.hint("shuffle_hash"), "key"))  # what shares a key, a small part of all; a hot key is split
     small = keyed.where(F.col("n") <= max_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     links = small.select(F.explode(bucket_links(F.col("fps"))).alias("l")).select("l.a", "l.b").distinct()
     return links.union(dense_links(keyed.where(F.col("n") > max_bucket).select("fp").distinct()))
