@@ -4,8 +4,8 @@ Texts are read as words of ASCII letters and digits and of other characters, A-Z
 document's item-sized windows get SimHash fingerprints over their five-word shingles; a multi-index of eight blocks
 returns every item whose fingerprint is within RADIUS (some block then differs in at most RADIUS // 8 bits); the
 multisets of shingles of window and item are then compared exactly (sum of minima over sum of maxima, 0.8 or more).
-Windows that share no shingle with any item can't reach that similarity and are skipped before fingerprinting: a window
-is looked at where a shingle of the document stands at the place it has in an item of that size.
+Windows that hold too few shingles of every item of their size can't reach that similarity and are skipped before
+fingerprinting; all others are looked at, in whatever order their shingles stand.
 
 The benchmark is read in slices of at most MAX_ITEMS items, each sent to all tasks, so what is sent is bounded however
 large the benchmark is; documents are read once per slice and never shuffled.
@@ -111,6 +111,26 @@ class Benchmark:
             mask[keys >> np.uint64(44)] = True
             self.by_span[span] = (keys[order], item[order], place[order], mask, HammingIndex([prints[i] for i in own], radius), np.array(own))
 
+    def windows(self, hits: np.ndarray, starts: np.ndarray, span: int) -> list[tuple]:
+        """(row, first word, words) of every item-sized window that holds enough shingles of an item to reach the least similarity.
+
+        hits: row, item, place, sorted and distinct. The sum of minima is at most the window's places with a shingle of the
+        item, and minima and maxima add up to the shingles of both.
+        """
+        cuts = np.flatnonzero(np.any(hits[1:, :2] != hits[:-1, :2], axis=1)) + 1 if len(hits) else np.zeros(0, np.int64)
+        low, high = np.concatenate([[0], cuts])[: len(hits)], np.concatenate([cuts, [len(hits)]])[: len(hits)]
+        row, size = hits[low, 0], np.array(self.sizes)[hits[low, 1]]
+        width = np.minimum(size, starts[row + 1] - starts[row])
+        inner = width - span + 1
+        need = self.least / (1 + self.least) * (inner + size - span + 1) - 1e-6
+        found = set()
+        for k in np.flatnonzero((high - low >= need) & (inner > 0)).tolist():
+            at, r, w, m = hits[low[k] : high[k], 2], int(row[k]), int(width[k]), int(inner[k])
+            first = np.arange(max(starts[r], at[0] - m + 1), min(starts[r + 1] - w, at[-1]) + 1)
+            held = np.searchsorted(at, first + m) - np.searchsorted(at, first)
+            found.update((r, a, w) for a in first[held >= need[k]].tolist())
+        return sorted(found)
+
     def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple]:
         """(row, item id, first word, words, similarity): the best window for each row and item."""
         best: dict = {}
@@ -123,9 +143,7 @@ class Benchmark:
             row = np.searchsorted(starts, at, "right") - 1
             inside = at + span <= starts[row + 1]
             at, hit, row = at[inside], hit[inside], row[inside]
-            size = np.array(self.sizes)[item[hit]]
-            first = np.maximum(starts[row], np.minimum(at - place[hit], starts[row + 1] - size))
-            for r, a, w in np.unique(np.stack([row, first, np.minimum(size, starts[row + 1] - first)], 1), axis=0).tolist():
+            for r, a, w in self.windows(np.unique(np.stack([row, item[hit], at], 1), axis=0), starts, span):
                 shingles = all_shingles[a : a + w - span + 1]
                 for i in own[index.within(fingerprint(shingles))].tolist():
                     s = similarity(shingles, self.shingles[i]) if min(self.sizes[i], starts[r + 1] - starts[r]) == w else 0

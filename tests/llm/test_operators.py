@@ -236,6 +236,19 @@ def test_decontamination_in_slices_of_the_benchmark(spark, sf_dir, docs):
     assert whole == sorted(map(tuple, contaminated(docs, bench, max_items=7).collect()))
 
 
+def test_decontamination_finds_reordered_items(spark):
+    """Halves and first and last sentences swapped, inside a longer document: no shingle stands at its place in the item."""
+    word = lambda p, n: [f"{p}{i}" for i in range(n)]
+    a, b, c, d, e = word("a", 25), word("b", 25), word("c", 12), word("d", 50), word("e", 17)
+    items = spark.createDataFrame([(1, " ".join(a + b)), (2, " ".join(c + d + e))], "item_id long, text string")
+    pad = word("x", 70)
+    docs = spark.createDataFrame([(1, " ".join(pad + b + a + pad)), (2, " ".join(pad + e + d + c + pad)), (3, " ".join(pad + a + pad))], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in contaminated(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 2)}
+    assert (found[1, 1].first_word, found[1, 1].n_words) == (70, 50) and abs(found[1, 1].similarity - 42 / 50) < 1e-9
+    assert (found[2, 2].first_word, found[2, 2].n_words) == (70, 79)
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     prints = [int(x) for x in rng.integers(0, 1 << 63, 400)]
