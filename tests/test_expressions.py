@@ -113,3 +113,14 @@ def test_header_quadruple_and_states(spark):
     assert [(r.path, r.code, r.version, r.date, r.author) for r in out] == [("f", "MFDS-PMC-06", "v1.0", "2024-01-02", "Kim")]
     rows = spark.createDataFrame([("a", "b", "t", "u", 2, ""), ("a", "b", "t", "u", 1, ""), ("a", "a", "t", "t", 0, ""), ("a", "b", "t", "t", 0, "boom"), ("a", "b", "t", "t", 0, None)], "a string, b string, c string, d string, n int, e string")
     assert [r[0] for r in rows.select(cover_status("a", "b", "c", "d", "n", "e")).collect()] == ["updated", "partial", "unchanged", "failed", "unchanged"]
+
+
+def test_containment_of_short_patterns(spark):
+    from ledgerloom.operators.match import containment_join
+
+    texts = ["one two three four", "xone two", "ab", "", None, "é日本 x", "a  b c", "one"]
+    patterns = ["one", "ne tw", "one two three", "two", "ab", "a", "", " ", "日本", "本 x", "a  b", "nothing", "ab ", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    p = spark.createDataFrame(list(enumerate(patterns)), "p long, pattern string")
+    found = sorted((r.t, r.p) for r in containment_join(t, "text", p, "pattern").collect())
+    assert found == sorted((i, k) for i, x in enumerate(texts) for k, y in enumerate(patterns) if x is not None and y is not None and y in x)
