@@ -35,10 +35,10 @@ MAX_ITEMS = 20_000
 BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts, and where each text's words begin (n + 1)."""
+def word_hashes(column: pa.Array, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts, and where each text's words begin (n + 1). table: what each byte counts as."""
     data, offsets = bytes_of(column)
-    data = BYTES[data]
+    data = table[data]
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = data != 0
     first = inside[:-1].copy()

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import let, lower_ascii, materialise, words_of
 from .components import connected_components
+from .similar_sets import near_duplicates  # noqa: F401  by similarity of shingle sets, not by fingerprints
 
 SHINGLE = 4
 RADIUS = 4
@@ -151,7 +152,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return sums.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), fp.alias("fp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp, component_id (least doc_id reachable over fingerprints within RADIUS)."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -162,5 +163,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
-    out = near_duplicates(docs)
+    out = fingerprint_groups(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -58,3 +58,45 @@ def test_near_dedup_keeps_rows_without_ids(spark, sf_dir):
 def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert all(stage(spark, docs, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_near_dedup_is_that_of_all_pairs(spark, sf_dir, stages):
+    """Groups of five-word similarity 0.8 or more by brute force, with near copies on both sides of the line and a dense group."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in stages[1].select("doc_id", "text").collect()]
+    texts = [" ".join(f"q{rng.randrange(3000)}" for _ in range(120)) for _ in range(12)]
+    for k, t in enumerate([t for t in texts for _ in range(8)] + [texts[0]] * 60):
+        w = t.split(" ")
+        for at in rng.sample(range(120), rng.randrange(1, 5)):
+            w[at] = f"r{rng.randrange(10**6)}"
+        rows.append((10_000 + k, " ".join(w)))
+    rows += [(20_000 + i, t) for i, t in enumerate([None, "", " ", "one two", "One  two", "one two three"])]
+
+    def shingles(t):
+        w = re.findall("[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids, sides = sorted(sets), [0, 0]
+    for k, b in enumerate(ids):
+        for a in ids[:k]:
+            shared = len(sets[a] & sets[b])
+            if shared:
+                near = shared >= 0.8 * len(sets[a] | sets[b])
+                sides[near] += 0.7 < shared / len(sets[a] | sets[b]) < 0.9
+                if near and find(a) != find(b):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    assert min(sides) > 50
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], schema)
+    left = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in left) == sorted({find(i) for i in ids})
