@@ -1,14 +1,19 @@
 """Main text of web pages, with site templates found by recurring element subtrees.
 
 Each page is read into elements; every subtree gets a hash. Spark counts per host in how many pages of different main
-content a subtree stands (so mirrored copies of one page count once); subtrees in at least MIN_SHARE of a host's pages,
-and at least MIN_PAGES of them, are the site's template and are deleted. At most 1 / MIN_SHARE times the mean number of
+content a subtree stands (so mirrored copies of one page count once). What recurs is the site's template and is deleted:
+containers (div, section, ul and the like, in and around the article) from MIN_PAGES pages and MIN_SHARE of the host's
+pages on; prose elements (paragraphs, headings, quotes, tables) from PROSE_PAGES and PROSE_SHARE on, and these only in
+pages that mark no article, for copies of an article share its paragraphs. At most 1 / MIN_SHARE times the mean number of
 elements of a page can reach that share, so the list of a host is bounded. The rest is the article (or main, or body)
-without navigation, notices, adverts, forms and comments.
+without navigation, notices, adverts, forms and comments, which class, id and role name by whole words.
+
+Reading is linear in the page, whatever its markup: no recursion, and no walk over open elements that closes none.
 
 Defined cases: null or empty html gives an empty text; a null host is a host of its own; broken or cut-off markup is read
-as far as it goes (open elements end with the page); repeated rows give a row each; other columns pass only if named in
-keep; an empty table gives an empty result.
+as far as it goes (open elements end with the page, an end tag that fits no open element is ignored, a tag without its
+end is text); any depth of nesting; repeated rows give a row each; null page ids are kept; other columns pass only if
+named in keep; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
 
-MIN_SHARE = 0.5
-MIN_PAGES = 20
+MIN_SHARE = 0.1
+MIN_PAGES = 3
+PROSE_SHARE = 0.5
+PROSE_PAGES = 5
 #: Elements whose text is never the article's.
 DROPPED = frozenset("head nav footer aside form button select option textarea input label dialog menu noscript template svg math canvas object iframe script style title audio video".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
@@ -35,19 +42,30 @@ BLOCKS = frozenset(
 #: Start tags that end an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article section div ul ol dl table td th body html main aside nav form blockquote header footer".split())
-#: Words of class, id and role that mark what is no article text.
+#: Elements that hold an article's own text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot tr td th caption dl dt dd li ol figure figcaption".split())
+#: Class, id and role words, each between white space and with - for _, that mark what is no article text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget "
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper comment-form comment-list comment-section comments-area comments-section complementary contentinfo cookie-banner cookie-bar cookie-consent cookie-notice footer-nav google-ad main-menu main-nav nav-bar newsletter-signup page-footer page-header post-comments "
+    "related-articles related-links related-posts search share-buttons share-links side-bar site-footer site-header site-menu site-nav site-navigation site-notice skip-link social-links social-share top-bar top-nav user-comments".split()
 )
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What may still begin a token where no > follows.
+LAST_TOKEN = re.compile(r"<!--.*|<[!?].*", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that a start tag may end, as bits.
+BITS = {tag: 1 << i for i, tag in enumerate(("p", "li", "dt", "dd", "tr", "td", "th", "option"))}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "off", "main", "holds_main", "parts", "hash")
+    """open: which of BITS are open from here up to the next scope."""
+
+    __slots__ = ("tag", "parent", "off", "main", "holds_main", "parts", "hash", "open", "gone")
 
     def __init__(self, tag, parent, off, main):
-        self.tag, self.parent, self.off, self.main, self.holds_main, self.parts, self.hash = tag, parent, off, main, False, [], 0
+        self.tag, self.parent, self.off, self.main, self.holds_main, self.parts, self.hash, self.gone = tag, parent, off, main, False, [], 0, False
+        self.open = BITS.get(tag, 0) | (0 if parent is None or tag in SCOPES else parent.open)
 
 
 def digest(data: str) -> int:
@@ -55,18 +73,20 @@ def digest(data: str) -> int:
 
 
 def marked(attributes: str) -> bool:
-    return any(w in MARKS for m in MARKED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(m[1].lower() in ("class", "id", "role") and not MARKS.isdisjoint((m[2] or m[3] or m[4] or "").lower().replace("_", "-").split()) for m in ATTRIBUTE.finditer(attributes))
 
 
 def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
-    """Elements in order of their end, and runs (element, text), text None where a block begins or ends."""
+    """Elements in order of their end, the root last, and runs (element, text), text None where a block begins or ends."""
     root = Element("", None, False, False)
-    top, done, runs, at = root, [], [], 0
+    top, done, runs, at, last = root, [], [], 0, html.rfind(">")
+    count: dict[str, int] = {}  # open elements by name
 
     def end(e: Element) -> Element:
         e.hash = digest(e.tag + "\x00" + "\x01".join(e.parts))
         e.parent.parts.append(str(e.hash))
         done.append(e)
+        count[e.tag] -= 1
         return e.parent
 
     def text(a: int, b: int) -> None:
@@ -76,9 +96,11 @@ def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]
             if words := run.split():
                 top.parts.append(" ".join(words))
 
-    while m := TOKEN.search(html, at):
+    while m := TOKEN.search(html, at) if at <= last else LAST_TOKEN.search(html, at):
         text(at, m.start())
         at = m.end()
+        if m.re is LAST_TOKEN:
+            break
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -87,32 +109,28 @@ def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]
         elif name == "br":
             runs.append((top, " "))
         if m[1] or m[4]:
-            e = top
-            while e is not root and e.tag != name:
-                e = e.parent
-            if e is not root:
-                while top is not e:
-                    top = end(top)
+            while count.get(name):
+                ended = top.tag
                 top = end(top)
+                if ended == name:
+                    break
             continue
         if name in VOID:
             continue
         ending = ENDS.get(name, ()) if name not in BLOCKS or name in ENDS else ("p",)
-        e = top
-        while e is not root and e.tag not in ending and e.tag not in SCOPES:
-            e = e.parent
-        if e is not root and e.tag in ending:
-            while top is not e:
+        if any(top.open & BITS[tag] for tag in ending):
+            while top.tag not in ending:
                 top = end(top)
             top = end(top)
         attributes = m[3] or m[6] or ""
         inside = top.main
-        off = top.off or name in DROPPED or (name == "header" and not inside) or (bool(attributes.strip()) and name not in ("html", "body", "article", "main") and marked(attributes)) or (name == "article" and marked(attributes))
+        off = top.off or name in DROPPED or (name == "header" and not inside) or (bool(attributes.strip()) and name not in ("html", "body", "main") and marked(attributes))
         main = not off and (inside or name in ("article", "main"))
         top = Element(name, top, off, main)
+        count[name] = count.get(name, 0) + 1
         if main and not inside:
             e = top
-            while e is not None:
+            while e is not None and not e.holds_main:
                 e.holds_main, e = True, e.parent
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
@@ -122,7 +140,7 @@ def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]
     text(at, len(html))
     while top is not root:
         top = end(top)
-    return done, runs
+    return [*done, root], runs
 
 
 def text_of(runs, keep) -> str:
@@ -139,26 +157,26 @@ def text_of(runs, keep) -> str:
     return "\n".join(blocks)
 
 
-def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
-    """The article's text without elements of templates (an element that holds the article is never one)."""
-    elements, runs = read_page(html)
+def article_text(elements: list[Element], runs, templates: frozenset[int] = frozenset()) -> str:
     has_main = any(e.main for e in elements)
-    off: dict[int, bool] = {}
+    for e in reversed(elements):  # from the root down
+        recurs = e.hash in templates and not e.holds_main and bool(e.parts) and not (has_main and e.tag in PROSE)
+        e.gone = e.off or recurs or (e.parent is not None and e.parent.gone)
+    return text_of(runs, lambda e: (e.main or not has_main) and not e.gone)
 
-    def keep(e: Element) -> bool:
-        if id(e) not in off:
-            gone = e.off or (e.hash in templates and not e.holds_main and bool(e.parts))
-            off[id(e)] = gone or (e.parent is not None and not keep(e.parent))
-        return not off[id(e)]
 
-    return text_of(runs, lambda e: (e.main or not has_main) and keep(e))
+def main_text(html: str, templates: frozenset[int] = frozenset()) -> str:
+    """The article's text without elements of templates (an element that holds the article is never one)."""
+    return article_text(*read_page(html), templates)
 
 
-def subtrees(html: str) -> tuple[int, list[int]]:
-    """Hash of the main content, and of every subtree that could belong to a template."""
-    elements, _ = read_page(html)
-    own = {e.hash for e in elements if e.parts and not e.holds_main and e.tag not in ("html", "head", "body")}
-    return digest(main_text(html)), sorted(own)
+def subtrees(html: str) -> tuple[int, list[int], list[int]]:
+    """Hash of the main content, and of every subtree that could belong to a template: containers, prose."""
+    elements, runs = read_page(html)
+    text = article_text(elements, runs)
+    has_main = any(e.main for e in elements)
+    own = [e for e in elements if e.parts and not e.gone and not e.holds_main and e.tag not in ("", "html", "head", "body") and (e.main or not has_main)]
+    return digest(text), sorted({e.hash for e in own if e.tag not in PROSE}), sorted({e.hash for e in own if e.tag in PROSE} if not has_main else ())
 
 
 def host_templates(pages: DataFrame, host, html_col: str, min_share: float, min_pages: int) -> DataFrame:
@@ -170,13 +188,18 @@ def host_templates(pages: DataFrame, host, html_col: str, min_share: float, min_
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [subtrees(h) for h in part.column("_html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_host"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["_host", "_page", "_subtrees"])
+                lists = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column("_host"), pa.array([x[0] for x in found], pa.int64()), *lists], names=["_host", "_page", "_subtrees", "_prose"])
 
-    trees = materialise(own.mapInArrow(run, "_host string, _page bigint, _subtrees array<bigint>"))
+    trees = materialise(own.mapInArrow(run, "_host string, _page bigint, _subtrees array<bigint>, _prose array<bigint>"))
     pages_of = trees.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    counts = trees.select("_host", "_page", F.explode("_subtrees").alias("_tree")).distinct().groupBy("_host", "_tree").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
+    exploded = trees.select("_host", "_page", F.explode("_subtrees").alias("_tree"), F.lit(False).alias("_is_prose"))
+    exploded = exploded.union(trees.select("_host", "_page", F.explode("_prose"), F.lit(True)))
+    counts = exploded.distinct().groupBy("_host", "_tree", "_is_prose").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.where(F.col("_n") >= F.when(F.col("_is_prose"), max(min_pages, PROSE_PAGES)).otherwise(min_pages))
     same = F.col("c._host").eqNullSafe(F.col("p._host"))
-    often = counts.alias("c").join(pages_of.alias("p"), same).where(F.col("_n") >= min_share * F.col("_pages"))
+    share = F.when(F.col("_is_prose"), max(min_share, PROSE_SHARE)).otherwise(min_share)
+    often = counts.alias("c").join(pages_of.alias("p"), same).where(F.col("_n") >= share * F.col("_pages"))
     return often.groupBy(F.col("c._host").alias("_template_host")).agg(F.array_sort(F.collect_set("_tree")).alias("_templates"))
 
 
