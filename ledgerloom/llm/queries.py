@@ -9,7 +9,7 @@ from .language_id import language_digest
 from .line_dedup import dedup_digest
 from .packing import pack
 from .quality import quality_rules
-from .secrets import KINDS, SCOPE, STRONG, WEAK, secret_digest
+from .secrets import BOUNDED, KINDS, SCOPE, STRONG, WEAK, secret_digest
 from .simhash import near_duplicate_digest
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -58,17 +58,20 @@ def _secrets_sql() -> str:
     for kind, (pattern, group) in (STRONG | WEAK).items():
         n = KINDS.index(kind)
         p = pattern.replace("'", "''")
+        p = f"(^|[^A-Za-z0-9]){p}" if kind in BOUNDED else p  # no look-behind here: the character before is part of the match
         least = {"assign": 6, "access": 20}.get(kind, 1)
         value = 2 if kind == "assign" else 0
+        before = f"regexp_extract_all(t, '{p}', 1)" if kind in BOUNDED else "list_transform(m, lambda x: '')"
         parts.append(
-            f"SELECT doc_id, {n} AS ord, '{kind}' AS kind, '{group}' AS class, s, s + length(m[i]) AS e FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM ("
-            f"SELECT doc_id, m, g, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {value}) AS v, string_split_regex(t, '{p}') AS g FROM d))) WHERE length(v[i]) >= {least}"
+            f"SELECT doc_id, {n} AS ord, '{kind}' AS kind, '{group}' AS class, s + length(b[i]) AS s, s + length(m[i]) AS e FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM ("
+            f"SELECT doc_id, m, g, v, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, {before} AS b FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {value}) AS v, string_split_regex(t, '{p}') AS g FROM d)))) WHERE length(v[i]) >= {least}"
         )
     strong = ", ".join(f"'{k}'" for k in STRONG)
     text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord)"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)
+    near = f"greatest(o.s, a.s) - least(o.e, a.e) BETWEEN 0 AND {SCOPE}"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(parts)}),
-r AS (SELECT * FROM a WHERE kind IN ({strong}) OR EXISTS (SELECT 1 FROM a o WHERE o.doc_id = a.doc_id AND o.class <> a.class AND abs(o.s - a.s) <= {SCOPE}))
+r AS (SELECT * FROM a WHERE kind IN ({strong}) OR EXISTS (SELECT 1 FROM a o WHERE o.doc_id = a.doc_id AND o.class <> a.class AND {near}))
 SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (kind IN ({strong})), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id"""
 
 
