@@ -1,20 +1,22 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill the rest of its window.
 
-Documents are tokenised and packed shard by shard, where a shard is a run of SHARD_DOCS documents of one input partition:
-no shuffle, no state between tasks, and memory bounded by a shard. Each shard has an inverted index (terms are
-white-space words, statistics are the shard's own, as in any sharded text index). A seed opens a window; the unused
-documents with the best BM25 score against the seed fill it one after the other. What doesn't fit is cut: the rest of a
-document seeds the next window, so windows are full. Only the last window of a task can stay short; it is cut at powers
-of two, which need no padding.
+Documents are tokenised once and written as packed ids with two content keys: the least hashes, by two orders, of their
+words. Documents with like words tend to share such keys, so rows are dealt out and sorted by them: a shard is a run of
+SHARD_DOCS documents in key order, wherever its documents stood in the input, and a group of copies is cut by place like
+any other run, so no key meets in one task. Each shard has an inverted index of its documents' tokens. BM25's document
+frequencies, number of documents and mean length are those of all documents (one sum per token of the vocabulary, which
+bounds what is sent). A seed opens a window; the unused documents of its shard with the best score against it fill the
+window one after the other. What doesn't fit is cut: the rest of a document seeds the next window, so windows are full.
+Only the last window of a task can stay short; it is cut at powers of two, which need no padding.
 
 Defined cases: null or empty text is one token, the end id; repeated rows are packed each; an empty table gives no rows;
-a document longer than the window goes over several windows in order; ties in score take the earlier document; other
-columns are ignored.
+a document longer than the window goes over several windows in order; ties in score take the earlier document in key
+order; null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -25,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .bytetext import bytes_of, mix, prefix_sums, range_hash, slices
+from .common import materialise, ship_package
 
 WINDOW = 4096
 END = 2
@@ -35,9 +38,11 @@ TABLE_SIZE = 1_200_000
 K1, B = 1.2, 0.75
 SEPARATOR = "<|startoftext|>"
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Where lower-casing before the library composes and lower-cases characters could differ from its own order of steps.
-UNUSUAL = re.compile("[\u0130\u0300-\u036f\u03a3\u0483-\u0489\u0591-\u1dff\u20d0-\u20ff\u2126\u212a\u212b\u3099\u309a\ufb00-\ufb4f\ufe20-\ufe2f]")
 STOPS = frozenset(".,;:!?")
+#: Byte -> what it counts as: 0 between words (the vocabulary drops these), else itself with A-Z lower-cased.
+#: The library composes and lower-cases characters; for ASCII letters the order of these steps makes no difference.
+BYTES = np.array([0 if b in b" \t\n\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+NUL = np.uint8(255)  # stands for a zero byte, which is no space; 255 is in no UTF-8
 
 
 @lru_cache(maxsize=2)
@@ -57,6 +62,21 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with spaces as zero, starts and ends of the words, and where each text's words begin (n + 1)."""
+    raw, offsets = bytes_of(column)
+    data = BYTES[raw]
+    data[raw == 0] = NUL
+    inside = np.zeros(len(data) + 2, bool)  # inside[i + 1]: byte i is of a word
+    inside[1:-1] = data != 0
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    bounds = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # texts don't run together
+    first[bounds] |= inside[1:-1][bounds]
+    last[bounds - 1] |= inside[1:-1][bounds - 1]
+    start = np.flatnonzero(first)
+    return data, start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
+
+
 class TokenTable:
     """Word -> ids as the library gives them. The vocabulary drops white space, so words can be encoded apart."""
 
@@ -68,27 +88,35 @@ class TokenTable:
         self.clear()
 
     def clear(self):
-        self.rows, self.used = {}, 0
+        """keys: sorted hashes of the words held, rows: their rows; row i has the ids flat[starts[i] : starts[i] + sizes[i]]."""
+        self.keys, self.rows, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def letters(self, word: str) -> list[int]:
         """Lower-case letters are one pre-token, which the library's BPE takes as byte characters."""
         return [t.id for t in self.bpe.tokenize(word if word.isascii() else "".join([self.byte[b] for b in word.encode()]))]
 
-    def add(self, words: list[str]) -> None:
-        """Letters, and a stop behind them, are pre-tokens of their own; other words go through the whole library."""
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Letters that the library's normaliser leaves as they are, and a stop behind them, are pre-tokens of their own;
+
+        all other words go through the whole library.
+        """
         found, other = [], []
         for w in words:
             core, stop = (w[:-1], w[-1]) if w[-1] in STOPS else (w, "")
-            if core.isalpha() and core.islower() and not UNUSUAL.search(core):
+            if core.isalpha() and core.islower() and (core.isascii() or (core.lower() == core and unicodedata.is_normalized("NFC", core))):
                 found.append(self.letters(core) + self.stops[stop] if stop else self.letters(core))
             else:
                 found.append(None)
                 other.append(w)
         others = dict(self.library(other))
-        found = [others[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return [others[w] if x is None else x for w, x in zip(words, found, strict=True)]
+
+    def add(self, keys: np.ndarray, words: list[str]) -> None:
+        """keys: sorted hashes of the words, none held so far."""
+        found = self.ids_of(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.rows), int(sizes.sum())
+        n, total = len(self.keys), int(sizes.sum())
         while n + len(words) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + total > len(self.flat):
@@ -96,7 +124,8 @@ class TokenTable:
         self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
         self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(words)] = sizes
-        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, n + np.arange(len(words)))
         self.used += total
 
     def library(self, words: list[str]):
@@ -109,24 +138,25 @@ class TokenTable:
             yield from ((w, ids[a + 1 : b]) for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=bool(plain)))
             yield from ((w, self.model.encode(w, add_special_tokens=False).ids) for w in part if SEPARATOR in w)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each word in the table; all ids."""
-        new = set(words).difference(self.rows)
-        if len(self.rows) + len(new) > self.size and self.rows:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's ids begin (n + 1), hash of every word, where each text's words begin (n + 1)."""
+        data, start, end, text = word_spans(column)
+        hashes = range_hash(prefix_sums(data), start, end)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self.held(distinct)) if len(self.keys) else np.arange(len(distinct))
+        if len(self.keys) + len(new) > self.size and len(self.keys):
             self.clear()
-            new = set(words)
-        self.add(sorted(new))
-        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            new = np.arange(len(distinct))
+        words = [data[a:b].tobytes().replace(b"\xff", b"\0").decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+        self.add(distinct[new], words)
+        rows = self.rows[np.searchsorted(self.keys, distinct)][which] if len(distinct) else np.zeros(0, np.int64)
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
-        return sizes, self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
+        ids = self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[text], hashes, text
 
-def words_of(text: str) -> list[str]:
-    if text.isascii() or not UNUSUAL.search(text):
-        text = text.lower()  # as the library does; fewer distinct words
-    words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return [w for w in words if w] if "" in words else words
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
 
 @lru_cache(maxsize=1)
@@ -135,30 +165,36 @@ def token_table(path: str) -> TokenTable:
     return TokenTable(path)
 
 
+class Corpus:
+    """Statistics of all documents for BM25: how many hold each token, the mean number of tokens, their number."""
+
+    def __init__(self, df: np.ndarray, documents: int, tokens: int):
+        self.idf = np.maximum(0, np.log((documents - df + 0.5) / (df + 0.5))).astype(np.float32)  # zero from half of all documents on
+        self.mean = max(tokens / max(documents, 1), 1e-9)
+
+
 class Index:
-    """BM25 over the documents of a shard; a document is its array of term hashes."""
-
-    def __init__(self, terms: list[np.ndarray]):
-        n = len(terms)
-        sizes = np.array([len(t) for t in terms], np.int64)
-        doc = np.repeat(np.arange(n), sizes)
-        _, term = np.unique(np.concatenate(terms) if n else np.zeros(0, np.int64), return_inverse=True)
-        key, tf = np.unique(term.astype(np.int64) * n + doc, return_counts=True)
-        term, self.doc = key // max(n, 1), key % max(n, 1)
-        df = np.bincount(term, minlength=1)
-        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))  # zero from half of all documents on
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean() if n else 1, 1e-9))
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.start, self.df, self.n = np.concatenate([[0], np.cumsum(df)]), df, n
-        useful = (df > 1) & (idf > 0)
+    """BM25 over the documents of a shard; a document is its array of tokens."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
+        n = len(docs)
+        sizes = np.fromiter(map(len, docs), np.int64, n)
+        tokens = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
+        idf = corpus.idf[tokens]
+        keep = idf > 0
+        key, tf = np.unique(tokens[keep] * n + np.repeat(np.arange(n), sizes)[keep], return_counts=True)
+        token, self.doc = key // max(n, 1), key % max(n, 1)
+        norm = K1 * (1 - B + B * sizes / corpus.mean)
+        self.impact = corpus.idf[token] * tf * (K1 + 1) / (tf + norm[self.doc])
+        new = np.ones(len(token), bool)
+        new[1:] = np.diff(token) != 0
+        self.start, self.n = np.append(np.flatnonzero(new), len(token)), n
         order = np.argsort(self.doc, kind="stable")
-        self.term_of, self.doc_start = term[order], np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.useful = useful
+        self.term_of, self.doc_start = (np.cumsum(new) - 1)[order], np.searchsorted(self.doc[order], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.term_of[self.doc_start[seed] : self.doc_start[seed + 1]]
-        terms = terms[self.useful[terms]]
-        df = self.df[terms]
+        df = self.start[terms + 1] - self.start[terms]
         at = np.repeat(self.start[terms] - np.cumsum(df) + df, df) + np.arange(df.sum())
         return np.bincount(self.doc[at], self.impact[at], self.n)
 
@@ -184,8 +220,9 @@ class Packer:
         self.sequence, self.open, self.fill = self.sequence + 1, [], 0
         return out
 
-    def shard(self, docs: list[tuple], terms: list[np.ndarray]):
-        index, used, next_seed = Index(terms), np.zeros(len(docs), bool), 0
+    def shard(self, docs: list[tuple], corpus: Corpus):
+        """docs: of (document, ids)."""
+        index, used, next_seed = Index([ids[:-1] for _, ids in docs], corpus), np.zeros(len(docs), bool), 0
         left = len(docs)
         seed, rest = None, 0
         while left or seed is not None:
@@ -235,16 +272,63 @@ class Packer:
             yield from self.close()
 
 
+def least_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Least value of each run that starts give (n + 1); the largest number for an empty run."""
+    out = np.full(len(starts) - 1, np.iinfo(np.uint64).max, np.uint64)
+    full = np.flatnonzero(starts[1:] > starts[:-1])
+    if len(full):
+        out[full] = np.minimum.reduceat(values, starts[full])
+    return out
+
+
+def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
+    """doc_id, text -> doc_id, ids (packed, with the end id), two content keys, place (row of the input); besides, a row per
+    task with df, in how many of its documents each token stands."""
+    id_type = docs.schema["doc_id"].dataType
+
+    def run(batches):
+        table = token_table(path or public_tokenizers.path("word_bpe_49k.json"))
+        vocabulary = max(table.model.get_vocab_size(with_added_tokens=True), END + 1)
+        width, df, place, schema = np.dtype(np.uint16 if vocabulary <= 1 << 16 else np.uint32), np.zeros(vocabulary, np.int64), TaskContext.get().partitionId() << 36, None
+        lists = lambda n: pa.nulls(n, pa.list_(pa.int64()))
+        for batch in batches:
+            schema = batch.schema.field("doc_id").type
+            for part in slices(batch, "text"):
+                ids, starts, hashes, words = table.encode(part.column("text"))
+                n, sizes = part.num_rows, np.diff(starts)
+                vocab = np.unique(np.repeat(np.arange(n), sizes) * vocabulary + ids) % vocabulary
+                df += np.bincount(vocab, minlength=vocabulary)
+                with_end = np.insert(ids, starts[1:], END).astype(width)
+                cuts = (starts + np.arange(n + 1)) * width.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(with_end)]).cast(pa.binary())
+                keys = [pa.array(least_of(mix(hashes + np.uint64(k)), words).view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed, *keys, pa.array(place + np.arange(n)), lists(n)], names=["doc_id", "ids", "key", "key2", "place", "df"])
+                place += n
+        if schema is not None:
+            nulls = [pa.nulls(1, schema), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array([df], pa.list_(pa.int64()))], names=["doc_id", "ids", "key", "key2", "place", "df"])
+
+    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, ids binary, key bigint, key2 bigint, place bigint, df array<bigint>")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row per piece. path: the tokenizer file, on every machine; by default the installed one."""
-    ship_package(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = own.schema["doc_id"].dataType
+    spark = docs.sparkSession
+    ship_package(spark)
+    table = materialise(tokenised(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), path))
+    id_type = table.schema["doc_id"].dataType
+    counted = table.select(F.posexplode("df").alias("token", "n")).where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row per token at most
+    size = vocabulary_size(path)
+    df = np.zeros(size, np.int64)
+    df[[r.token for r in counted]] = [r.n for r in counted]
+    width = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+    rows_ = table.where("ids is not null")
+    n, tokens = rows_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("ids") / width.itemsize - 1), F.lit(0))).first()
+    sent = spark.sparkContext.broadcast(Corpus(df, n, int(tokens)))
 
     def run(batches):
-        table = token_table(path or public_tokenizers.path("word_bpe_49k.json"))
-        packer = Packer(TaskContext.get().partitionId() << 36, window)
-        held, terms, tokens, arrow_id = [], [], 0, None
+        packer, corpus = Packer(TaskContext.get().partitionId() << 36, window), sent.value
+        held, tokens, arrow_id = [], 0, None
 
         def rows(pieces):
             pieces = list(pieces)
@@ -254,23 +338,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         for batch in batches:
             arrow_id = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                words = [words_of(t) for t in part.column("text").to_pylist()]
-                sizes, ids = table.encode([w for ws in words for w in ws])
-                doc_words = np.cumsum([0, *map(len, words)])
-                word_ends = np.concatenate([[0], np.cumsum(sizes)])
-                for doc_id, ws, a, b in zip(part.column("doc_id").to_pylist(), words, doc_words[:-1], doc_words[1:], strict=True):
-                    own_ids = np.append(ids[word_ends[a] : word_ends[b]], np.uint32(END))
-                    held.append((doc_id, own_ids))
-                    terms.append(np.fromiter(map(hash, ws), np.int64, len(ws)))
-                    tokens += len(own_ids)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                held.append((doc_id, np.frombuffer(ids, width)))
+                tokens += len(held[-1][1])
                 if len(held) >= shard_docs or tokens >= shard_tokens:
-                    yield from rows(packer.shard(held, terms))
-                    held, terms, tokens = [], [], 0
+                    yield from rows(packer.shard(held, corpus))
+                    held, tokens = [], 0
         if held:
-            yield from rows(packer.shard(held, terms))
+            yield from rows(packer.shard(held, corpus))
         yield from rows(packer.finish())
 
-    out = own.mapInArrow(run, f"doc_id {id_type.simpleString()}, {SCHEMA}")
+    dealt = rows_.repartitionByRange("key", "key2", "place").sortWithinPartitions("key", "key2", "place")
+    out = dealt.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type.simpleString()}, {SCHEMA}")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def vocabulary_size(path: str | None) -> int:
+    model = tokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
+    return max(model.get_vocab_size(with_added_tokens=True), END + 1)
