@@ -33,8 +33,9 @@ from .common import materialise, ship_package
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 4096
-SHARD_TOKENS = 8_000_000
-TABLE_SIZE = 1_200_000
+SHARD_TOKENS = 3_000_000
+TABLE_SIZE = 500_000
+SLICE = 1_000_000
 K1, B = 1.2, 0.75
 SEPARATOR = "<|startoftext|>"
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -91,6 +92,17 @@ class TokenTable:
         """keys: sorted hashes of the words held, rows: their rows; row i has the ids flat[starts[i] : starts[i] + sizes[i]]."""
         self.keys, self.rows, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.hits = np.zeros(1024, np.int32)  # slices of text that had the word
+
+    def forget(self):
+        """Drops the words met in one slice only, or all if that leaves over half of the table."""
+        often = np.flatnonzero(self.hits[self.rows] > 1)
+        keys, sizes, starts = self.keys[often], self.sizes[self.rows[often]], self.starts[self.rows[often]]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.clear()
+        if 2 * len(keys) <= self.size:
+            self.put(keys, sizes, flat)
 
     def letters(self, word: str) -> list[int]:
         """Lower-case letters are one pre-token, which the library's BPE takes as byte characters."""
@@ -116,17 +128,20 @@ class TokenTable:
         """keys: sorted hashes of the words, none held so far."""
         found = self.ids_of(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.keys), int(sizes.sum())
-        while n + len(words) > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while self.used + total > len(self.flat):
+        self.put(keys, sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())))
+
+    def put(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        n, more = len(self.keys), len(keys)
+        while n + more > len(self.starts):
+            self.starts, self.sizes, self.hits = (np.resize(x, 2 * len(x)) for x in (self.starts, self.sizes, self.hits))
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[n : n + more] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + more], self.hits[n : n + more] = sizes, 0
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, n + np.arange(len(words)))
-        self.used += total
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, n + np.arange(more))
+        self.used += len(flat)
 
     def library(self, words: list[str]):
         """The ids of many words by one call each for a thousand, with a special token between the words."""
@@ -143,20 +158,25 @@ class TokenTable:
         data, start, end, text = word_spans(column)
         hashes = range_hash(prefix_sums(data), start, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.flatnonzero(~self.held(distinct)) if len(self.keys) else np.arange(len(distinct))
-        if len(self.keys) + len(new) > self.size and len(self.keys):
-            self.clear()
-            new = np.arange(len(distinct))
+        new = self.missing(distinct)
+        if len(self.keys) + len(new) > self.size:
+            self.forget()
+            new = self.missing(distinct)
         words = [data[a:b].tobytes().replace(b"\xff", b"\0").decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
         self.add(distinct[new], words)
-        rows = self.rows[np.searchsorted(self.keys, distinct)][which] if len(distinct) else np.zeros(0, np.int64)
+        own = self.rows[np.searchsorted(self.keys, distinct)] if len(distinct) else np.zeros(0, np.int64)
+        self.hits[own] += 1
+        rows = own[which]
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[text], hashes, text
 
-    def held(self, keys: np.ndarray) -> np.ndarray:
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that the table doesn't hold."""
+        if not len(self.keys):
+            return np.arange(len(keys))
+        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
 
 
 @lru_cache(maxsize=1)
@@ -179,10 +199,11 @@ class Index:
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         sizes = np.fromiter(map(len, docs), np.int64, n)
-        tokens = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
+        kind = np.int32 if n * len(corpus.idf) < 1 << 31 else np.int64
+        tokens = np.concatenate(docs).astype(kind) if n else np.zeros(0, kind)
         idf = corpus.idf[tokens]
         keep = idf > 0
-        key, tf = np.unique(tokens[keep] * n + np.repeat(np.arange(n), sizes)[keep], return_counts=True)
+        key, tf = np.unique(tokens[keep] * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes)[keep], return_counts=True)
         token, self.doc = key // max(n, 1), key % max(n, 1)
         norm = K1 * (1 - B + B * sizes / corpus.mean)
         self.impact = corpus.idf[token] * tf * (K1 + 1) / (tf + norm[self.doc])
@@ -293,7 +314,7 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
         lists = lambda n: pa.nulls(n, pa.list_(pa.int64()))
         for batch in batches:
             schema = batch.schema.field("doc_id").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, starts, hashes, words = table.encode(part.column("text"))
                 n, sizes = part.num_rows, np.diff(starts)
                 vocab = np.unique(np.repeat(np.arange(n), sizes) * vocabulary + ids) % vocabulary
