@@ -50,3 +50,36 @@ def column_letters(number: Column) -> Column:
         .when(number <= 702, F.concat(letter(second), letter(n)))
         .otherwise(F.concat(letter(first), letter(F.floor((n - 702) / 26)), letter(n - 702)))
     )
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it. value holds no Python function."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Array of struct start, end, match of all matches, from 0; none for null. pattern has no groups that capture.
+
+    Offsets are summed by blocks of the square root of the number of matches, so long texts don't take its square.
+    """
+    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"), matches.alias("match"))
+    kind = "array<struct<start:int,end:int,match:string>>"
+    empty = F.array().cast(kind)
+    width = lambda p: p["gap"] + F.coalesce(F.length(p["match"]), F.lit(0))
+
+    def step(state: Column, p: Column) -> Column:
+        start, end = state["at"] + p["gap"], state["at"] + width(p)
+        span = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"))
+        return F.struct(end.alias("at"), F.when(p["match"].isNotNull(), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+
+    def by_blocks(parts: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), ((F.size(parts) - 1) / size).cast("int")), lambda b: F.slice(parts, b * size + 1, size)), placed)
+
+    def placed(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + width(p)))
+        starts = F.aggregate(widths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("found")), step, lambda state: state["found"])))
+
+    return F.when(text.rlike(pattern), let(parts, by_blocks)).otherwise(empty)

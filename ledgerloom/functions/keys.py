@@ -1,4 +1,8 @@
-"""Match keys, labels and identifiers as column expressions. All stay in codegen but nfkc_fold, used for non-ASCII only."""
+"""Labels, identifiers and file names as column expressions; null in, null out.
+
+All stay in codegen but nfkc_fold, an Arrow function to which ASCII values go as nulls. Keys of names and titles are in
+`titles`.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Fixed values.
-DOCUMENT_SUFFIXES = ("hwp", "hwpx", "pdf", "xlsx", "xlsm", "xls", "pptx", "ppt", "docx", "doc", "txt", "html", "htm", "csv", "zip")
-VERSION = r"[_-]?[vV]\d+(?:\.\d+)*"
-REQUIREMENT = r"SFR-[A-Za-z0-9-]+"
-
 
 def nfkc_fold(value: Column) -> Column:
     """NFKC and case folding, which Spark SQL lacks; the function travels with the plan."""
@@ -25,8 +24,8 @@ def nfkc_fold(value: Column) -> Column:
 
 
 def folded(value: Column) -> Column:
-    """Case-folded compatibility form; ASCII never leaves the JVM."""
-    return F.when(F.octet_length(value) == F.length(value), F.lower(value)).otherwise(nfkc_fold(value))
+    """Case-folded compatibility form."""
+    return F.coalesce(nfkc_fold(F.when(F.octet_length(value) != F.length(value), value)), F.lower(value))
 
 
 def compact_space(value: Column) -> Column:
@@ -46,35 +45,6 @@ def identifier_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"[^0-9A-Za-z가-힣]+", ""))
 
 
-def match_key(value: Column) -> Column:
-    """Key for comparing names: no file suffix, version, requirement id or separators; letters, digits and Hangul folded."""
-    name = F.regexp_replace(value, rf"(?i)\.(?:{'|'.join(DOCUMENT_SUFFIXES)})$", "")
-    name = F.regexp_replace(F.regexp_replace(name, VERSION, ""), rf"(?i){REQUIREMENT}", "")
-    return identifier_key(name)
-
-
-def without_parentheses(value: Column, depth: int = 4) -> Column:
-    """Innermost parentheses removed up to `depth` times, which is all of them for that nesting."""
-    for _ in range(depth):
-        value = F.regexp_replace(value, r"\([^()]*\)", "")
-    return value
-
-
-def key_variants(value: Column) -> Column:
-    """The key with and without parenthetical content, without empty ones."""
-    return F.array_distinct(F.filter(F.array(match_key(value), match_key(without_parentheses(value))), lambda x: x != ""))
-
-
-def without_leading_id(value: Column) -> Column:
-    return F.regexp_replace(value, r"^(?:\s*(?:[A-Za-z]{2,10}(?:-[A-Za-z0-9]{1,12})*-\d{2}|\d{1,6})[\s_-]+)+", "")
-
-
-def safe_stem(value: Column, default: str = "document") -> Column:
-    """A file name without characters that file systems refuse."""
-    clean = F.trim(F.regexp_replace(value, r'[\\/:*?"<>|\x00-\x1f]+', "_"), F.lit(" ._"))
-    return F.when(clean == "", F.lit(default)).otherwise(clean)
-
-
 def sheet_title(value: Column, default: str = "sheet") -> Column:
     """At most the 31 characters that a sheet name may have."""
     clean = F.left(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\\/*?:\[\]]", "_")), F.lit(31))

@@ -21,6 +21,17 @@ def gestalt_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratio, DoubleType())(a, b)
 
 
+def best_gestalt_ratio(many: Column, b: Column) -> Column:
+    """The best of the ratios of each of many to b; null if one side is null or many is empty."""
+
+    def best(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([None if p is None or q is None or not len(p) else max(SequenceMatcher(None, a, q).ratio() for a in p) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(best, DoubleType()).asNondeterministic()(many, b)  # so that no filter on it moves into a join
+
+
 def title_similarity(candidate: Column, expected: Column) -> Column:
     """1 for equal keys, 0.9 if one of two longer keys holds the other, else the gestalt ratio."""
     long_ = (F.length(candidate) >= 6) & (F.length(expected) >= 6)

@@ -11,8 +11,15 @@ def fan_out(df: DataFrame, ids: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode_outer(ids)).drop(ids)
 
 
-def every_template(ids: DataFrame, templates: DataFrame, max_templates: int = 10_000) -> DataFrame:
-    """Every id with every template. The templates are the small side and are checked to be."""
-    if templates.limit(max_templates + 1).count() > max_templates:
-        raise ValueError(f"over {max_templates} templates; expand by blocks of templates")
-    return ids.crossJoin(F.broadcast(templates))
+def every_template(ids: DataFrame, templates: DataFrame, block: int = 10_000) -> DataFrame:
+    """Every id with every template, which is the result that is asked for; repeated rows count, empty tables give none.
+
+    The templates are dealt into blocks of some `block` rows by their hash and each block is a partner of every id, so no
+    task holds more of them than a block; up to one block they are sent to all tasks.
+    """
+    count = templates.count()
+    if count <= block:
+        return ids.crossJoin(F.broadcast(templates))
+    blocks = -(-count // block)
+    dealt = templates.withColumn("_block", F.pmod(F.xxhash64(*templates.columns), F.lit(blocks)))
+    return ids.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")

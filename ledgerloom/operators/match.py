@@ -13,22 +13,24 @@ def containment_join(texts: DataFrame, text: str, patterns: DataFrame, pattern:
     """Pairs where the text holds the pattern, by an equi-join on the pattern's longest inner word.
 
     A text that holds a pattern holds the pattern's inner words as whole words, so one of them finds all candidates; there
-    is no nested loop. Patterns of under three words have no inner word; their first three characters (all, if there are
+    is no nested loop. Words go to the join with a hash of their text only; texts are fetched for the hits. Patterns of under three words have no inner word; their first three characters (all, if there are
     fewer) stand somewhere in the text and find the candidates. An empty pattern is in every text.
     """
     words = F.split(pattern, " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.get(F.transform(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]), 0)
-    anchored = patterns.withColumn("_anchor", longest).where(F.col("_anchor").isNotNull())
-    exploded = texts.withColumn("_anchor", F.explode(F.array_distinct(F.split(text, " "))))
-    found = exploded.join(anchored, "_anchor")
-    short = patterns.where(F.col(pattern).isNotNull() & longest.isNull()).withColumn("_anchor", F.left(pattern, F.lit(3)))
+    anchored = patterns.select(pattern, longest.alias("_anchor")).where(F.col("_anchor").isNotNull()).distinct()
+    own = texts.select(text).where(F.col(text).isNotNull()).distinct()
+    found = own.withColumn("_hash", F.xxhash64(text)).select("_hash", F.explode(F.array_distinct(F.split(text, " "))).alias("_anchor")).join(anchored, "_anchor").select("_hash", pattern)
+    short = patterns.where(F.col(pattern).isNotNull() & longest.isNull()).select(pattern, F.left(pattern, F.lit(3)).alias("_anchor")).distinct()
     for n in sorted(r[0] for r in short.select(F.length("_anchor")).distinct().collect()):  # at most 0, 1, 2, 3
         last = F.greatest(F.length(text) - (n - 1), F.lit(1))
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(n)))) if n else F.array(F.lit(""))  # noqa: B023
-        held = texts.where(F.col(text).isNotNull()).withColumn("_anchor", F.explode(grams))
-        found = found.unionByName(held.join(short.where(F.length("_anchor") == n), "_anchor"))
-    return found.where(F.contains(F.col(text), F.col(pattern))).drop("_anchor")
+        held = own.withColumn("_hash", F.xxhash64(text)).select("_hash", F.explode(grams).alias("_anchor"))
+        found = found.unionByName(held.join(short.where(F.length("_anchor") == n), "_anchor").select("_hash", pattern))
+    hits = found.distinct().withColumnRenamed(pattern, "_pattern")
+    pairs = texts.withColumn("_hash", F.xxhash64(text)).join(hits, "_hash").where(F.contains(F.col(text), F.col("_pattern")))
+    return pairs.join(patterns.withColumn("_pattern", F.col(pattern)), "_pattern").drop("_pattern", "_hash")
 
 
 def longest_match(pairs: DataFrame, keys: list[str], length: Column, order: list[Column]) -> DataFrame:

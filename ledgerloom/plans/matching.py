@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import match_key
+from ..functions.titles import composed_key
 from ..operators.dedup import first_by
 from ..operators.match import containment_join, keyword_score, longest_match, name_score, overlap_scores, priority_join
 from .common import Book, table
@@ -21,7 +21,7 @@ s AS (SELECT p_partkey, alias, alias_pos, CASE WHEN NOT (contains(name, alias) O
 
 def ladder(spark, d):
     """Scores of parts against all words and whole names of the catalog. The catalog's distinct names are the small side: names repeat."""
-    p = table(spark, d, "part").select("p_partkey", match_key(F.col("p_name")).alias("name"), match_key(F.col("p_type")).alias("title"), match_key(F.concat("p_brand", "p_type")).alias("preview"))
+    p = table(spark, d, "part").select("p_partkey", composed_key(F.col("p_name")).alias("name"), composed_key(F.col("p_type")).alias("title"), composed_key(F.concat("p_brand", "p_type")).alias("preview"))
     names = table(spark, d, "part").select("p_name").distinct()
     aliases = names.select(F.explode(F.concat(F.split("p_name", " "), F.array(F.replace("p_name", F.lit(" "), F.lit(""))))).alias("alias")).distinct()
     # one holds the other: the shorter one's first characters stand somewhere in the longer one

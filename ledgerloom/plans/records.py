@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import column_letters, column_number, missing_numbers
 from ..functions.dates import revision_date, size_class
-from ..functions.keys import id_shape, last_number, match_key, render_tokens, safe_stem
+from ..functions.keys import id_shape, last_number, render_tokens
+from ..functions.titles import composed_key, safe_stem
 from ..operators.dedup import first_by, next_versions, unique_names
 from ..operators.expand import every_template, fan_out
 from ..operators.fill import numbered_with_first
@@ -67,7 +68,7 @@ def missing_keys(spark, d):
 FROM (SELECT *, lower(regexp_replace(p_name, '[^0-9A-Za-z]+', '', 'g')) AS key FROM part) GROUP BY 1""")
 def catalog_dedup(spark, d):
     """One catalog row per key: longest id (ties: earlier), first folder that isn't null, all aliases."""
-    p = table(spark, d, "part").withColumn("key", match_key(F.col("p_name")))
+    p = table(spark, d, "part").withColumn("key", composed_key(F.col("p_name")))
     return p.groupBy("key").agg(
         F.max_by("p_brand", F.struct(F.length("p_brand"), -F.col("p_partkey"))).alias("brand"),
         F.min_by("p_type", F.when(F.col("p_size") >= 10, F.col("p_partkey"))).alias("type"),

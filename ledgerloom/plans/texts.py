@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ends_with_parts, has_subpath, split_names, starts_with_parts, subpath_index
 from ..functions.dates import size_class
-from ..functions.keys import all_ids, compact_space, file_name, file_stem, file_suffix, hidden_urls, match_key, separator_key, sheet_title, without_tags
+from ..functions.keys import all_ids, compact_space, file_name, file_stem, file_suffix, hidden_urls, separator_key, sheet_title, without_tags
+from ..functions.titles import composed_key
 from .common import Book, table
 
 book = Book()
 
 
-@book.query("""SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(trim(line)) > 0 AND length(line) <= 120""")
+@book.query(r"""SELECT doc_id, pos, line FROM (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '^[<>]+|[<>]+$', '', 'g'), '\s+', ' ', 'g'), ' -') AS line FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
+WHERE line <> '' AND NOT regexp_full_match(line, '[0-9.\-_/()''"]+') AND regexp_matches(line, '[A-Za-z0-9]')""")
 def line_explode(spark, d):
-    """Lines with their places, without empty and long ones."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where((F.length(F.trim("line")) > 0) & (F.length("line") <= 120)).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
+    """All lines that have something to read, with their places; no limit on their length."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "_line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace(F.regexp_replace("_line", r"^[<>]+|[<>]+$", ""), r"\s+", " "), F.lit(" -")))
+    kept = (F.col("line") != "") & ~F.col("line").rlike(r"\A[\d.\-_/()'\"]+\z") & F.col("line").rlike("[A-Za-z0-9]")
+    return lines.where(kept).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 @book.query("SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS next_length FROM conversations QUALIFY next_role IS NOT NULL")
@@ -81,7 +85,7 @@ def suffix_noise_filter(spark, d):
 def normalize_keys(spark, d):
     """Keys of file names: suffix, version and requirement id are no part of them."""
     name = F.concat("p_name", "p_brand", F.lit("_SFR-001"), F.lit("_v1.2.xlsx"))
-    return table(spark, d, "part").select("p_partkey", match_key(name).alias("key"), separator_key(F.concat("p_name", F.lit("."), "p_type")).alias("loose"))
+    return table(spark, d, "part").select("p_partkey", composed_key(name).alias("key"), separator_key(F.concat("p_name", F.lit("."), "p_type")).alias("loose"))
 
 
 @book.query("SELECT doc_id, CASE WHEN n_chars <= 500 THEN 'small' WHEN n_chars <= 3000 THEN 'medium' ELSE 'large' END AS size_class FROM documents")

@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.arrays import column_letters, column_number, ends_with_parts, missing_numbers, split_names, subpath_index
 from ledgerloom.functions.dates import revision_date
-from ledgerloom.functions.keys import all_ids, file_stem, file_suffix, folded, id_shape, match_key, prefix_related, render_tokens, sheet_title, without_leading_id, without_parentheses
+from ledgerloom.functions.titles import name_key, without_leading_ids, without_parentheses
+from ledgerloom.functions.keys import all_ids, file_stem, file_suffix, folded, id_shape, prefix_related, render_tokens, sheet_title
 from ledgerloom.sources.listing import list_files
 from ledgerloom.sources.packages import read_package_text, read_workbook_cells
 
@@ -12,10 +13,10 @@ def values(spark, expression, *rows, names=("a", "b")):
 
 
 def test_keys(spark):
-    assert values(spark, match_key(F.col("a")), ("MFDS-ADT-01-단위시험결과서_SFR-IIL-002_v0.1.hwpx",), ("Risk Register v1.2.xlsx",)) == ["mfdsadt01단위시험결과서", "riskregister"]
+    assert values(spark, name_key(F.col("a")), ("MFDS-ADT-01-단위시험결과서_SFR-IIL-002_v0.1.hwpx",), ("Risk Register v1.2.xlsx",)) == ["mfdsadt01단위시험결과서", "riskregister"]
     assert values(spark, folded(F.col("a")), ("ABC",), ("Ａｂ①",), ("ß",)) == ["abc", "ab1", "ss"]
-    assert values(spark, without_parentheses(F.col("a")), ("a(b(c)d)e",), ("x",)) == ["ae", "x"]
-    assert values(spark, without_leading_id(F.col("a")), ("MFDS-PMC-02-요구",), ("12_34 name",)) == ["요구", "name"]
+    assert values(spark, without_parentheses(F.col("a")), ("a(b(c)d)e",), ("x",)) == ["a e", "x"]
+    assert values(spark, without_leading_ids(F.col("a")), ("MFDS-PMC-02-요구",), ("12_34 name",)) == ["요구", "name"]
     assert values(spark, id_shape(F.col("a")), ("SFR-OOO-13",), ("SFR-A1-2",)) == ["A-A-N", "A-X-N"]
     assert values(spark, prefix_related(F.col("a"), F.col("b")), ("SFR-1", "SFR-1-2"), ("SFR-1", "SFR-12")) == [True, False]
     assert values(spark, file_suffix(F.col("a")), ("d/x.tar.gz",), (".bashrc",)) == [".gz", ""]

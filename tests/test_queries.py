@@ -33,5 +33,5 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
 def test_entry_has_rows(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
