@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontaminate import BYTES, Benchmark, HammingIndex, contaminated, fingerprint, word_hashes
 from ledgerloom.llm.html_extract import extract_main_text, main_text
-from ledgerloom.llm.language_id import identify, language_digest
+from ledgerloom.llm.language_id import BUCKETS, documents_and_pages, identify, language_digest, train
 from ledgerloom.llm.line_dedup import dedup_digest, dedup_lines
 from ledgerloom.llm.packing import END, TokenTable, pack, tokenizer
 from ledgerloom.llm.quality import COUNTS, RULES, host_rates, quality_rules
 from ledgerloom.llm.secrets import scan_secrets, secret_digest
-from ledgerloom.llm.simhash import fingerprint_links, golay_rows, near_duplicate_digest, near_duplicates
+from ledgerloom.llm.simhash import fingerprint_links, flips, golay_rows, near_duplicate_digest, near_duplicates
 from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.token_counts import token_counts
 
@@ -159,6 +159,11 @@ def test_golay_table_is_perfect():
     assert len(rows) == 2048 and all(len(r[1]) == 1 and len(r[2]) <= 6 for r in rows)
 
 
+def test_flips_are_all_words_of_two_bits(spark):
+    words = {x % (1 << 64) for x in spark.range(1).select(flips().alias("f")).first().f}
+    assert len(words) == 2081 and {w.bit_count() for w in words} == {0, 1, 2}
+
+
 @pytest.mark.parametrize("bucket", [512, 8])
 def test_links_are_those_of_all_pairs(spark, bucket):
     """A dense group and random prints, once within buckets and once by the exact way for dense groups."""
@@ -251,7 +256,7 @@ def test_decontamination(spark, sf_dir, docs, rows, empty):
     shingles = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
     held = " ".join(items[0][1].split()[:-1])  # one word short
     near = spark.createDataFrame([(200_000, "before " + items[1][1].upper().replace(",", " -") + " after"), (200_001, held), (200_002, items[2][1][: len(items[2][1]) // 2])], "doc_id long, text string")
-    table = docs.select("doc_id", "text").distinct().union(near)
+    table = docs.select("doc_id", "text").distinct().union(near).withColumns({c: F.lit("clash") for c in ("text_hash", "item_id", "first_word", "similarity", "n_words")})
     out = {(r.doc_id, r.item_id): r.similarity for r in contaminated(table, bench).collect()}
     expected = {}
     for i, t in [(r.doc_id, r.text) for r in table.collect()]:
@@ -311,7 +316,7 @@ def test_suffix_dedup(spark, docs, rows, empty):
         for k in range(len(b) - 49):
             w = b[k : k + 50]
             first[w] = min(i, first.get(w, i))
-    out = by_id(remove_repeats(table), len(everything))
+    out = by_id(remove_repeats(table.withColumns({c: F.lit("clash") for c in ("text_hash", "places", "contexts", "windows", "n_bytes", "bucket")})), len(everything))
     for i, b in everything:
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
@@ -324,7 +329,7 @@ def test_suffix_dedup(spark, docs, rows, empty):
 
 def test_language(spark, sf_dir, docs, empty):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    out = language_digest(docs.drop("id", "host"), pages)
+    out = language_digest(docs, pages.withColumns({c: F.lit("clash") for c in ("id", "host", "text", "lang", "declared")}))
     frame = out.toPandas()
     assert len(frame) == docs.count() + pages.count()
     labelled = docs.where("lang is not null").select("doc_id", "lang").distinct().toPandas()
@@ -337,6 +342,59 @@ def test_language(spark, sf_dir, docs, empty):
     assert identify(rows_, docs.limit(0).select("text", F.col("lang").alias("label"))).count() == 0
 
 
+def test_language_fusion_is_bayes_by_hand(spark, sf_dir, docs):
+    """Text likelihoods from counted trigrams, priors and evidence from sums over all other rows, in plain Python."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60)
+    labelled = docs.where("text is not null").select("text", F.col("lang").alias("label"))
+    table = documents_and_pages(docs.limit(120), pages).cache()
+    languages, logs = train(labelled, 80)
+    counts = np.full((BUCKETS, len(languages)), 0.1)
+    keyed = sorted((r.h, r.label, r.text) for r in labelled.where("label is not null and length(text) > 0").withColumn("h", F.xxhash64("text", "label")).collect())
+    limit = keyed[min(80, len(keyed)) - 1][0]
+
+    def buckets(text):
+        b = [x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in text.encode()]
+        return [((b[k] * 0x9E37 + b[k + 1] * 0x79B9 + b[k + 2] * 0x1F35) ^ (b[k + 2] << 7)) % BUCKETS for k in range(len(b) - 2) if b[k + 1] != 32]
+
+    for h, label, text in keyed:
+        if h <= limit:
+            for k in buckets(text):
+                counts[k, languages.index(label)] += 1
+    assert np.allclose(logs, np.log(counts / counts.sum(0)))
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    rows_, n = table.collect(), len(languages)
+    texts = []
+    for r in rows_:
+        found = buckets(r.text or "")
+        total = logs[found].astype(np.float32).astype(float).sum(0) if found else np.zeros(n)
+        texts.append(0.1 * (total - total.max()))
+    own = [softmax(t) for t in texts]
+    parts = [(r.host or "").split(".") for r in rows_]
+    keys = [{"declared": r.declared, "host": r.host, "domain": ".".join(p[-2:]) if len(p) > 1 else r.host, "suffix": p[-1] if len(p) > 1 else None} for r, p in zip(rows_, parts, strict=True)]
+    sums = collections.defaultdict(lambda: np.zeros(n))
+    for k, o in zip(keys, own, strict=True):
+        for name, value in [*k.items(), ("all", "")]:
+            if value is not None:
+                sums[name, value] += o
+
+    def expected(k, o, t):
+        rest = lambda name: np.maximum(sums[name, k[name]] - o, 0) if k[name] is not None else np.zeros(n)
+        smooth = lambda c, p: (c + 20 * p) / (c.sum() + 20)
+        everything = np.maximum(sums["all", ""] - o, 0)
+        p0 = (everything + 1) / (everything.sum() + n)
+        prior = smooth(rest("host"), smooth(rest("domain"), p0))
+        evidence = sum((np.log(smooth(rest(name), p0) / p0) for name in ("declared", "suffix") if k[name] is not None), np.zeros(n))
+        return softmax(t + np.log(prior) + evidence)
+
+    wanted = sorted((r.id, round(float(expected(k, o, t).max()), 4)) for r, k, o, t in zip(rows_, keys, own, texts, strict=True))
+    got = sorted((r.id, round(r.confidence, 4)) for r in identify(table, labelled, 80).collect())
+    assert [i for i, _ in got] == [i for i, _ in wanted] and np.allclose([c for _, c in got], [c for _, c in wanted], atol=2e-3)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
@@ -538,3 +596,29 @@ def test_benchmark_fingerprints_are_majorities():
     assert list(np.diff(starts)) == [6, 6, 0] and (words[:6] == words[6:]).all()
     assert fingerprint(np.array([0xFF00, 0xF000, 0x1000], np.uint64)).bit_count() > 0
     assert Benchmark([(1, "one two")]).spans == [2]
+
+
+def test_null_ids_and_very_long_texts(spark, sf_dir):
+    """Every operator takes rows without ids and texts of a megabyte."""
+    import sentencepiece
+
+    words = " ".join(f"w{i}" for i in range(150_000))
+    rows_ = [(None, words), (1, words), (2, "short text of a few words"), (None, None), (None, "token=abcdefgh")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("source", F.lit(None).cast("string")).cache()
+    quality = quality_rules(docs).collect()
+    assert sorted(r.n_words for r in quality) == [0, 1, 6, 150_000, 150_000]
+    assert sorted(r.n_lines for r in dedup_digest(docs).collect()) == [1] * 5
+    groups = {(r.doc_id, r.fingerprint): r.component_id for r in near_duplicate_digest(docs).collect()}
+    assert groups[1, next(f for i, f in groups if i == 1)] == 1 and len(groups) == 5
+    assert sorted(r.n_assign for r in secret_digest(docs).collect()) == [0, 0, 0, 0, 1]
+    bench = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(70_000, 70_040)))], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.first_word, r.similarity) for r in contaminated(docs, bench).collect()) == [(0, 70_000, 1.0), (1, 70_000, 1.0)]
+    repeats = {(r.doc_id, r.n_bytes): r.n_removed for r in remove_repeats(docs).collect()}
+    assert repeats[None, len(words)] == len(words) and repeats[1, len(words)] == 0  # a null id is larger than any other
+    model = sentencepiece.SentencePieceProcessor(model_file=__import__("public_tokenizers").path("piece_bpe_32k.model"))
+    assert sorted(r.n_tokens for r in token_counts(docs).collect()) == sorted(len(model.encode(t or "")) for _, t in rows_)
+    pieces = pack(docs).toPandas()
+    assert pieces.doc_id.isna().sum() > 1 and pieces.length.sum() == 2 * pieces.doc_tokens.max() + sum(set(pieces.doc_tokens) - {pieces.doc_tokens.max()})
+    pages = spark.createDataFrame([(None, None, f"<article>{'<p>a b</p>' * 50_000}</article>"), (None, "http://a.example", None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in extract_main_text(pages).collect()) == [0, 4 * 50_000 - 1]
+    assert identify(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("declared"), F.col("source").alias("host")), docs.select("text", F.lit("xx").alias("label"))).count() == 5
