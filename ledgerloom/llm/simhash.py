@@ -112,25 +112,36 @@ def bucket_links(members: Column) -> Column:
     return F.filter(F.aggregate(members, empty, add), lambda e: e["a"] != e["b"])
 
 
+def flips() -> Column:
+    """Array of the 2081 words of 64 bits with at most two bits set."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: bit(i).bitwiseOR(bit(j)))))
+    return F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), bit), two)
+
+
 def dense_links(fingerprints: DataFrame) -> DataFrame:
     """Exact links of dense groups: a star for each word that is at most 2 flips from several fingerprints (at most 2081)."""
-    flips = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)]
-    signed = [x - (1 << 64) if x >> 63 else x for x in flips]
-    masks = fingerprints.sparkSession.createDataFrame([(x,) for x in signed], "flip bigint")  # 2081 rows
-    near = fingerprints.crossJoin(F.broadcast(masks)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
+    near = fingerprints.select("fp", F.explode(flips()).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
     least = near.groupBy("word").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return near.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def fingerprint_links(fingerprints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Distinct fp (long) -> links a, b that connect exactly what pairs within RADIUS connect."""
-    from pyspark.sql import Window
-
-    keyed = fuzzy_keys(fingerprints).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    keyed = materialise(keyed)  # what shares a key, a small part of all
-    small = keyed.where(F.col("n") <= max_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    """Distinct fp (long) -> links a, b that connect exactly what pairs within RADIUS connect.
+
+    Keys are counted by sums that begin before the shuffle, so no key gathers its rows in one task. A key of two
+    fingerprints is a pair as it stands; the few keys of more get their fingerprints by a join, which adaptive execution
+    broadcasts or splits.
+    """
+    spread = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fuzzy_keys(fingerprints.repartition(spread, "fp"))  # some 120 keys each: rows are few, work is not
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    counts = materialise(counts)
+    pairs = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b").distinct()
+    members = materialise(keyed.join(counts.where("n > 2").select("key", "n"), "key"))
+    small = members.where(F.col("n") <= max_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     links = small.select(F.explode(bucket_links(F.col("fps"))).alias("l")).select("l.a", "l.b").distinct()
-    return links.union(dense_links(keyed.where(F.col("n") > max_bucket).select("fp").distinct()))
+    return pairs.union(links).union(dense_links(members.where(F.col("n") > max_bucket).select("fp").distinct()))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
