@@ -59,11 +59,15 @@ def test_stages_take_empty_tables(spark, sf_dir):
     assert all(stage(spark, docs, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
-def test_near_dedup_is_that_of_all_pairs(spark, sf_dir, stages):
+def test_near_dedup_is_that_of_all_pairs(spark, sf_dir, stages, monkeypatch):
     """Groups of five-word similarity 0.8 or more by brute force, with near copies on both sides of the line and a dense group."""
     import random
     import re
 
+    from ledgerloom.llm import similar_sets
+
+    monkeypatch.setattr(similar_sets, "BLOCK", 8)  # several blocks to a key
+    monkeypatch.setattr(similar_sets, "SMALL_KEY", 3)
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in stages[1].select("doc_id", "text").collect()]
     texts = [" ".join(f"q{rng.randrange(3000)}" for _ in range(120)) for _ in range(12)]
