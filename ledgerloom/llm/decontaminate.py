@@ -11,7 +11,7 @@ The benchmark is read in slices of at most MAX_ITEMS items, each sent to all tas
 large the benchmark is; documents are read once per slice and never shuffled.
 
 Defined cases: null and empty texts and items match nothing; an item of under five words has one shingle, all its words;
-a document shorter than an item is one window; repeated rows of documents give repeated rows; an empty table of either
+a document shorter than an item is one window; null document ids are kept; repeated rows of documents give repeated rows; an empty table of either
 kind gives no rows; of several windows for one item the most similar counts, then the first; other columns are ignored.
 """
 

@@ -7,7 +7,7 @@ under each address suffix and (c) on each host. Host priors are smoothed towards
 whole table, without the row itself. The four log terms add up to the posterior.
 
 Defined cases: null, empty and unlettered texts have no text evidence, so priors decide (all equal without any: the first
-language by name); null declared language or suffix is no evidence; a null host has the table's prior only; repeated rows
+language by name); null declared language or suffix is no evidence; a null host has the table's prior only; null ids are kept; repeated rows
 each count and get a row; without labelled rows or without rows at all the result is empty; other columns are ignored.
 """
 

@@ -5,7 +5,7 @@ back to their documents by a semi-join and a group per document; the text is put
 
 Defined cases: null or empty text is one empty line (key of zero code points, never dropped); a document that repeats a
 line counts once for it, and so do repeated rows of one document; rows of one doc_id with other texts are told apart and
-count as one document; an empty table gives an empty result. Clashing names in docs do no harm: only the named columns
+count as one document; rows without an id are kept, and count as one document together; an empty table gives an empty result. Clashing names in docs do no harm: only the named columns
 are read, and keep's columns pass through.
 """
 

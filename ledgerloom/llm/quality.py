@@ -5,7 +5,7 @@ failure rate is shrunk towards an empirical beta prior fitted over all hosts (me
 joined back: in a host that a rule condemns, the documents that fail that rule go; everywhere, documents that fail the
 base limits go. Clean documents of a condemned host stay.
 
-Defined cases: null or empty text has zero words and fails the base; a null host is a host of its own; repeated rows each
+Defined cases: null or empty text has zero words and fails the base; a null host is a host of its own; null ids are kept; repeated rows each
 count and each get a row; an empty table gives an empty result; other columns are neither read nor returned.
 """
 

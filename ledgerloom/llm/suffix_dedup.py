@@ -16,7 +16,7 @@ Documents are shuffled once by id (the exchange is used for both joins); everyth
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all; rows with one id never remove each other's bytes;
 repeated rows give repeated results; a null id counts as larger than every other; an empty table gives an empty result;
-one very long text is one slice of work; other columns are ignored. Bytes are UTF-8; what is kept may cut characters.
+one very long text is one slice of work; ids are whole numbers (others fail the job), of which 2**63 - 1 stands for null; other columns are ignored. Bytes are UTF-8; what is kept may cut characters.
 """
 
 from __future__ import annotations

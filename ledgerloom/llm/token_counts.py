@@ -10,7 +10,7 @@ everywhere is one entry per slice, so no bucket depends on how many documents ho
 Join. The counts go back to their slices, where frequency x pieces is summed by document. A slice is of bounded size, so
 every group here is.
 
-Defined cases: null text is empty (0 bytes, 0 tokens); repeated rows give repeated results; an empty table gives an empty
+Defined cases: null text is empty (0 bytes, 0 tokens); null ids are kept; repeated rows give repeated results; an empty table gives an empty
 result; a very long text is a slice of its own; other columns are ignored.
 """
 
