@@ -27,7 +27,7 @@ def longest_templates(files: DataFrame, keys: list[str], parts: str, templates:
     return pairs.withColumn("_r", F.row_number().over(w.orderBy(F.desc("_n"), order))).where("_r = 1").drop("_r", "_run", "_n")
 
 
-def records_for_names(names: DataFrame, keys: list[str], name: str, records: DataFrame, record: str, pairs: DataFrame) -> DataFrame:
+def records_for_names(names: DataFrame, keys: list[str], records: DataFrame, record: str, pairs: DataFrame) -> DataFrame:
     """Of the record names that a file name holds (`pairs`: keys and record), those of the greatest length, with their rows."""
     w = Window.partitionBy(*keys).orderBy(F.desc(F.length(record)))
     best = pairs.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.keys import last_part, without_sequence_marker
 from ..operators import checks as K
+from ..operators.paths import records_for_names
 from .common import Book, table
 
 book = Book()
@@ -102,4 +104,26 @@ def revision_table_columns(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(found.isNull(), "").otherwise(places).alias("places"))
 
 
+@book.query(
+    """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS record FROM part WHERE p_size < 4), b AS (SELECT * FROM w QUALIFY rank() OVER (PARTITION BY p_partkey ORDER BY length(record) DESC) = 1),
+r AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS record, p_type FROM part) SELECT p_partkey, record, p_type FROM b JOIN r USING (record)"""
+)
+def records_of_longest_name(spark, d):
+    """All records of the longest record names that a file name holds; names of equal length all count."""
+    part = table(spark, d, "part")
+    files = part.where("p_size < 4").select("p_partkey", "p_name")
+    pairs = files.select("p_partkey", F.explode(F.split("p_name", " ")).alias("record"))
+    records = part.select(F.get(F.split("p_name", " "), 0).alias("record"), "p_type").distinct()
+    return records_for_names(files, ["p_partkey"], records, "record", pairs).select("p_partkey", "record", "p_type")
+
+
+@book.query("SELECT p_partkey, p_name AS plain, CASE p_partkey % 2 WHEN 0 THEN p_type ELSE p_brand END AS last FROM part")
+def markers_and_last_parts(spark, d):
+    """Names without their number, and the part of a title behind its last dash."""
+    k = F.col("p_partkey")
+    marked = F.concat(F.when(k % 3 == 0, " 12. ").when(k % 3 == 1, "3) ").otherwise("② "), "p_name")
+    title = F.when(k % 2 == 0, F.concat("p_name", F.lit(" - x - "), "p_type")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", without_sequence_marker(marked).alias("plain"), last_part(title, F.col("p_brand")).alias("last"))
+
+
 QUERIES, ORACLE_SQL = book.queries, book.sql
