@@ -38,3 +38,18 @@ def completion_limits(steps: Column, length: Column) -> Column:
     """Tokens and seconds by the size of a block."""
     limits = lambda t, s: F.struct(F.lit(t).alias("tokens"), F.lit(s).alias("seconds"))
     return F.when((steps >= 9) | (length >= 3000), limits(4096, 180)).when((steps >= 4) | (length >= 1500), limits(2048, 90)).otherwise(limits(1024, 60))
+
+
+SELECTED = r'"selected"\s*:\s*\[([^\]]*)'
+
+
+def selected_numbers(answer: Column) -> Column:
+    """Sorted distinct numbers of the list "selected" of an answer, also a broken one; none if it holds names, or no list."""
+    body = F.regexp_extract(F.coalesce(answer, F.lit("")), SELECTED, 1)
+    numbers = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\b(\d+)\b"), F.lit(1)), lambda x: x.cast("bigint"))))
+    return F.when(body.rlike('"[^"]+"'), F.array().cast("array<bigint>")).otherwise(numbers)
+
+
+def selected_names(answer: Column) -> Column:
+    """Names of the list "selected", in order."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_extract(F.coalesce(answer, F.lit("")), SELECTED, 1), F.lit('"([^"]+)"'), F.lit(1)))

@@ -174,3 +174,19 @@ def project_and_document(value: Column) -> Column:
 
 def first_output_id(value: Column) -> Column:
     return F.regexp_extract(value, rf"\b{OUTPUT_ID}\b", 0)
+
+
+def slide_name(value: Column) -> Column:
+    """A file name without output ids, leading numbers, dates and versions."""
+    text = clean_text(value)
+    for noise in (rf"\b{OUTPUT_ID}\b", r"\A\d{4,}(?:\([^)]*\))?\s*[-_]\s*", r"\([^)]*(?:\d{2,4}[./년-]\s*\d{1,2}|\d{6,8})[^)]*\)", r"[_-][vV]\d+(?:\.\d+)*\b", r"\b\d{6,8}\b"):
+        text = F.regexp_replace(text, noise, " ")
+    return composed_text(text)
+
+
+def safe_relative_path(path: Column, fallback: str = "file") -> Column:
+    """A relative path without empty, . and .. parts and without characters that file systems refuse; null gives the fallback."""
+    parts = F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/")
+    kept = F.filter(parts, lambda p: (F.trim(p) != "") & ~p.isin(".", ".."))
+    safe = F.array_join(F.transform(kept, lambda p: F.regexp_replace(F.trim(p), UNSAFE_IN_FILE_NAMES, "_")), "/")
+    return F.when(F.size(kept) > 0, safe).otherwise(fallback)

@@ -136,3 +136,14 @@ def cover_identities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     project = first_filled(labelled(lines, PROJECT_LABEL, project_title), F.col("_cover.project"), F.col("_combined.project"), valid(project_title(F.col("_rule.project"))))
     own = own.withColumns({"project": project, "document": document})
     return own.select(*keys, first_filled(F.col("project"), project_near(lines, F.col("document"))).alias("project"), "document")
+
+
+def standard_project_title(lines: Column, marker: str = "문서관리표준") -> Column:
+    """The project of a standard: before the marker on its line, else the line above, else behind the marker; else by label."""
+    filled = lambda x: F.when(F.trim(x) != "", x)
+    at = lambda x: F.instr(x, F.lit(marker))
+    near = lambda x, i: F.coalesce(filled(F.substring(x, F.lit(1), at(x) - 1)), F.when(i > 0, F.get(lines, i - 1)), filled(F.substring(x, at(x) + len(marker), F.length(x))))
+    marked = F.filter(F.transform(lines, lambda x, i: F.when(at(x) > 0, near(x, i))), lambda x: x.isNotNull())
+    label = r"(?:사업명|프로젝트\s*명)\s*[:：]?\s*(.+)"
+    labels = F.filter(F.transform(lines, lambda x: F.when(x.rlike(label), F.regexp_extract(x, label, 1))), lambda x: x.isNotNull())
+    return F.coalesce(project_title(F.get(marked, 0)), project_title(F.get(labels, 0)), F.lit(""))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.completion import selected_names, selected_numbers
+from ..functions.titles import safe_relative_path, slide_name
 from ..operators import catalog_text as C
 from ..operators import screens as S
 from ..operators.extract import text_lines
-from ..operators.identity import cover_identities, meaningful_lines
+from ..operators.identity import cover_identities, meaningful_lines, standard_project_title
 from ..operators.requirements import proposal_requirements
 from .common import Book, table
 
@@ -135,4 +137,34 @@ def requirement_ids_in_context(spark, d):
     return found.select("p_partkey", "requirement_id", "matched_text", "kept", "conflict_with")
 
 
+STANDARD = f"""CASE p_partkey % 4 WHEN 0 THEN 'x'{NL}p_name || ' 문서관리표준 V1.0' WHEN 1 THEN p_type{NL}'문서관리표준' WHEN 2 THEN '문서관리표준 ' || p_brand ELSE 'x'{NL}'사업명 ' || p_name END"""
+
+
+@book.query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_name END AS project FROM part")
+def standard_projects(spark, d):
+    """Projects of standards by the marker of their cover."""
+    return meaningful_lines(parts(spark, d, STANDARD), "_t").select("p_partkey", standard_project_title(F.col("lines")).alias("project"))
+
+
+NAME = "CASE p_partkey % 2 WHEN 0 THEN 'PMC-AB-01 ' || p_name || ' (2024.01.02)_v1.0 20240102' ELSE '2024001(a) - ' || p_name || '-V2' END"
+
+
+@book.query("SELECT p_partkey, p_name AS slide, CASE p_partkey % 2 WHEN 0 THEN 'a/' || p_name || '/x_' || p_brand || '_.doc' ELSE 'file' END AS path FROM part")
+def slide_names_and_paths(spark, d):
+    """File names without ids, dates and versions; upload paths made safe."""
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/a\\ "), "p_name", F.lit(" /../x<"), "p_brand", F.lit(">.doc"))).otherwise("./..//")
+    named = table(spark, d, "part").select("p_partkey", F.expr(NAME).alias("_n"), path.alias("_p"))
+    return named.select("p_partkey", slide_name(F.col("_n")).alias("slide"), safe_relative_path(F.col("_p")).alias("path"))
+
+
+ANSWER = """CASE p_partkey % 3 WHEN 0 THEN '{"selected" : [' || p_size || ', 99, ' || p_size || ', 0' WHEN 1 THEN 'so "selected": ["' || p_name || '", "x"]' ELSE 'none' END"""
+
+
+@book.query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '0,' || p_size || ',99' ELSE '' END AS numbers, CASE p_partkey % 3 WHEN 1 THEN p_name || ',x' ELSE '' END AS names FROM part")
+def answers_selected(spark, d):
+    """Numbers and names that answers select, broken ones too."""
+    t = F.col("_t")
+    return parts(spark, d, ANSWER).select("p_partkey", F.array_join(selected_numbers(t).cast("array<string>"), ",").alias("numbers"), F.array_join(selected_names(t), ",").alias("names"))
+
+
 QUERIES, ORACLE_SQL = book.queries, book.sql
