@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, lower_ascii, materialise, words_of
@@ -127,21 +127,12 @@ def dense_links(fingerprints: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(fingerprints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Distinct fp (long) -> links a, b that connect exactly what pairs within RADIUS connect.
-
-    Keys are counted by sums that begin before the shuffle, so no key gathers its rows in one task. A key of two
-    fingerprints is a pair as it stands; the few keys of more get their fingerprints by a join, which adaptive execution
-    broadcasts or splits.
-    """
-    spread = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fuzzy_keys(fingerprints.repartition(spread, "fp"))  # some 120 keys each: rows are few, work is not
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    counts = materialise(counts)
-    pairs = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b").distinct()
-    members = materialise(keyed.join(counts.where("n > 2").select("key", "n"), "key"))
-    small = members.where(F.col("n") <= max_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    """Distinct fp (long) -> links a, b that connect exactly what pairs within RADIUS connect."""
+    keyed = fuzzy_keys(fingerprints).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    keyed = materialise(keyed)  # what shares a key, a small part of all
+    small = keyed.where(F.col("n") <= max_bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     links = small.select(F.explode(bucket_links(F.col("fps"))).alias("l")).select("l.a", "l.b").distinct()
-    return pairs.union(links).union(dense_links(members.where(F.col("n") > max_bucket).select("fp").distinct()))
+    return links.union(dense_links(keyed.where(F.col("n") > max_bucket).select("fp").distinct()))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
