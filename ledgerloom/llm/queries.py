@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .byte_bpe import round_trip_digest
 from .common import read
 from .decontaminate import contaminated
 from .html_extract import extract_main_text
 from .language_id import language_digest
+from .lexical_search import ranked_search
 from .line_dedup import dedup_digest
 from .packing import pack
+from .prefix_trie import conversation_trie
 from .quality import quality_rules
 from .secrets import BOUNDED, KINDS, SCOPE, STRONG, WEAK, secret_digest
 from .simhash import near_duplicate_digest
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_token_counts": lambda spark, d: token_counts(read(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(read(spark, d, "documents")),
     "op10_html_extraction": lambda spark, d: extract_main_text(read(spark, d, "pages")),
+    "op11_conversation_trie": lambda spark, d: conversation_trie(read(spark, d, "conversations")),
+    "op12_lexical_search": lambda spark, d: ranked_search(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op13_byte_bpe": lambda spark, d: round_trip_digest(read(spark, d, "documents")),
 }
 
 WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -75,4 +81,26 @@ r AS (SELECT * FROM a WHERE kind IN ({strong}) OR EXISTS (SELECT 1 FROM a o WHER
 SELECT doc_id, {counts}, sha256(coalesce({text} FILTER (kind IN ({strong})), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id"""
 
 
-ORACLE_SQL = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_secret_scan": _secrets_sql()}
+#: A prefix is the list of its turns; crc32 bit by bit.
+OP11 = r"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda k, i: xor(k >> 1, (k & 1) * 3988292384), xor(a, b)), 4294967295), 4294967295) % 6 AS h FROM t),
+o AS (SELECT c.conv_id, list(x ORDER BY p) FILTER (p > h) AS own FROM c JOIN t USING (conv_id) GROUP BY 1),
+b AS (SELECT c.conv_id, list(x ORDER BY p) FILTER (p <= h) AS taken FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 GROUP BY 1),
+r AS (SELECT conv_id, list_concat(coalesce(taken, []), coalesce(own, [])) AS seq FROM c LEFT JOIN o USING (conv_id) LEFT JOIN b USING (conv_id)),
+q AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS node FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(node[d].text) END AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM q GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT node, saved, unnest(range(0, d + 1)) AS up FROM n), l AS (SELECT n.node, n.d FROM n LEFT JOIN k ON n.node = k.node AND n.d = k.d WHERE k.d IS NULL),
+u AS (SELECT node[1:up] AS node, up AS d, sum(saved) AS saved_tokens FROM a GROUP BY 1, 2), v AS (SELECT node[1:up] AS node, up AS d, count(*) AS n_leaves FROM (SELECT node, unnest(range(0, d + 1)) AS up FROM l) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, v.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u ON n.node = u.node AND n.d = u.d JOIN v ON n.node = v.node AND n.d = v.d LEFT JOIN k ON n.node = k.node AND n.d = k.d LEFT JOIN n m ON m.node = n.node[1:n.d - 1] AND m.d = n.d - 1"""
+
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'))) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+z AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM z WHERE score > 0) WHERE rank <= 10"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_secret_scan": _secrets_sql(), "op11_conversation_trie": OP11, "op12_lexical_search": OP12}
