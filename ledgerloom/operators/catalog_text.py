@@ -6,7 +6,7 @@ in their order, so a document is one group: these are tables of lines of standar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -57,18 +57,27 @@ def is_loose_name(value: Column) -> Column:
     return (value != "") & ~is_table_header(value) & ~is_generic_stage(value) & ~is_loose_id(value) & value.rlike("[가-힣]")
 
 
+def sequential_output(raw: Column, order: WindowSpec, name_from_id: bool = False) -> Column:
+    """Struct output_id, output_name of a name line with its id on the next line, or behind a wrapped part of the name; null for other lines."""
+    line, first, second = composed_text(raw), composed_text(F.lead(raw).over(order)), composed_text(F.lead(raw, 2).over(order))
+    wrapped = ~is_sequential_id(first) & is_wrapped_part(first) & is_sequential_id(second)
+    parts = F.struct(F.when(wrapped, F.concat(line, first)).otherwise(line).alias("name"), F.when(wrapped, second).otherwise(first).alias("id"))
+
+    def of(p: Column) -> Column:
+        output_id, own = id_and_name(p["id"])
+        name = F.when(own != "", own).otherwise(p["name"]) if name_from_id else p["name"]
+        return F.when(is_sequential_name(p["name"]) & is_sequential_id(p["id"]), F.struct(output_id.alias("output_id"), name.alias("output_name")))
+
+    return let(parts, of)
+
+
 def sequential_outputs(lines: DataFrame, keys: list[str], name_from_id: bool = False) -> DataFrame:
-    """keys, pos, output_id, output_name: a name line with its id on the next line, or behind a wrapped part of the name.
+    """keys, pos, output_id, output_name of sequential_output.
 
     name_from_id takes the name that stands in the id, if there is one.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = lines.withColumn("line", composed_text("line")).withColumns({"_1": F.lead("line").over(w), "_2": F.lead("line", 2).over(w)})
-    wrapped = ~is_sequential_id(F.col("_1")) & is_wrapped_part(F.col("_1")) & is_sequential_id(F.col("_2"))
-    rows = rows.withColumns({"_name": F.when(wrapped, F.concat("line", "_1")).otherwise(F.col("line")), "_id": F.when(wrapped, F.col("_2")).otherwise(F.col("_1"))})
-    output_id, own = id_and_name(F.col("_id"))
-    name = F.when(own != "", own).otherwise(F.col("_name")) if name_from_id else F.col("_name")
-    return rows.where(is_sequential_name(F.col("_name")) & is_sequential_id(F.col("_id"))).select(*keys, "pos", output_id.alias("output_id"), name.alias("output_name"))
+    order = Window.partitionBy(*keys).orderBy("pos")
+    return lines.withColumn("_o", sequential_output(F.col("line"), order, name_from_id)).where("_o is not null").select(*keys, "pos", "_o.*")
 
 
 def split_columns(line: Column) -> Column:
@@ -139,12 +148,42 @@ def value_in_column(line: Column, start: Column, end: Column) -> Column:
     return composed_text(F.array_join(F.transform(F.filter(runs(line), inside), lambda r: r["value"]), " "))
 
 
+def column_output(line: Column, columns: Column) -> Column:
+    """Struct output_id, output_name of a line by a header's columns; null for other lines, or without columns."""
+    output_id, name = value_in_column(line, columns["id_start"], columns["id_end"]), value_in_column(line, columns["name_start"], columns["name_end"])
+    found = F.struct(output_id.alias("output_id"), name.alias("output_name"))
+    return F.when(columns.isNotNull() & ~is_page_or_table_header(composed_text(line)), let(found, lambda o: F.when(is_loose_id(o["output_id"]) & is_loose_name(o["output_name"]), o)))
+
+
 def column_outputs(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, pos, output_id, output_name of lines below the first header line of each text, by the header's columns."""
+    """keys, pos, output_id, output_name of the lines of each text by the columns of its first header line."""
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = lines.withColumn("_c", F.first(header_columns(F.col("line")), ignorenulls=True).over(w)).where(F.col("_c").isNotNull())
-    rows = rows.withColumns({"output_id": value_in_column(F.col("line"), F.col("_c.id_start"), F.col("_c.id_end")), "output_name": value_in_column(F.col("line"), F.col("_c.name_start"), F.col("_c.name_end"))})
-    return rows.where(is_loose_id(F.col("output_id")) & is_loose_name(F.col("output_name")) & ~is_page_or_table_header(composed_text("line"))).select(*keys, "pos", "output_id", "output_name")
+    rows = lines.withColumn("_c", F.first(header_columns(F.col("line")), ignorenulls=True).over(w))
+    return rows.withColumn("_o", column_output(F.col("line"), F.col("_c"))).where("_o is not null").select(*keys, "pos", "_o.*")
+
+
+def section_outputs(lines: DataFrame, keys: list[str], loose_id: bool = True, name_from_id: bool = False) -> DataFrame:
+    """keys, pos, output_id, output_name, folder_name, parser of each text by the first parser that finds outputs in it.
+
+    With loose ids that is names with their ids on the next line ('sequential'); without any, each line is read by the columns of the text's
+    header ('columns'), else by loose ids ('loose'), else by output ids ('line'); without loose ids only the last. All parsers
+    are columns of one pass: the lines of a text are sorted once.
+    """
+    line = F.col("line")
+    order = Window.partitionBy(*keys).orderBy("pos")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def named(found: Column, parser: str, folder: Column | None = None) -> Column:
+        folder = F.lit(None).cast("string") if folder is None else folder
+        return F.when(found.isNotNull(), F.struct(found["output_id"].alias("output_id"), found["output_name"].alias("output_name"), folder.alias("folder_name"), F.lit(parser).alias("parser")))
+
+    by_line = let(line_output(line), lambda o: named(o, "line", o["folder_name"]))
+    if not loose_id:
+        return lines.withColumn("_o", by_line).where("_o is not null").select(*keys, "pos", "_o.*")
+    rows = lines.withColumns({"_s": sequential_output(line, order, name_from_id), "_c": F.first(header_columns(line), ignorenulls=True).over(whole)})
+    rows = rows.withColumn("_any", F.max(F.col("_s").isNotNull()).over(whole))
+    others = F.coalesce(let(column_output(line, F.col("_c")), lambda o: named(o, "columns")), let(loose_line_output(line), lambda o: named(o, "loose")), by_line)
+    return rows.withColumn("_o", F.when(F.col("_any"), named(F.col("_s"), "sequential")).otherwise(others)).where("_o is not null").select(*keys, "pos", "_o.*")
 
 
 def layout_templates(lines: DataFrame, keys: list[str], noise: str = HEADER_OR_FOOTER) -> DataFrame:
