@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import bytes_of, mix, prefix_sums, range_hash, slices
+from .bytetext import bytes_of, mix, slices, word_hash
 from .common import ship_package
 
 SHINGLE = 5
@@ -48,7 +48,7 @@ def word_hashes(column: pa.Array, table: np.ndarray = BYTES) -> tuple[np.ndarray
     last = inside[:-1] & ~inside[1:]
     last[offsets[1:][offsets[1:] > 0] - 1] |= inside[:-1][offsets[1:][offsets[1:] > 0] - 1]
     end = np.flatnonzero(last) + 1
-    return range_hash(prefix_sums(data), start, end), np.searchsorted(start, offsets)
+    return word_hash(data, start, end), np.searchsorted(start, offsets)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import bytes_of, mix, prefix_sums, range_hash, slices
+from .bytetext import bytes_of, mix, slices, word_hash
 from .common import materialise, ship_package
 
 WINDOW = 4096
@@ -43,6 +43,7 @@ STOPS = frozenset(".,;:!?")
 #: Byte -> what it counts as: 0 between words (the vocabulary drops these), else itself with A-Z lower-cased.
 #: The library composes and lower-cases characters; for ASCII letters the order of these steps makes no difference.
 BYTES = np.array([0 if b in b" \t\n\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+OPENING = b"<|"  # begins every special string; words with it keep their case
 NUL = np.uint8(255)  # stands for a zero byte, which is no space; 255 is in no UTF-8
 
 
@@ -74,8 +75,11 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     bounds = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # texts don't run together
     first[bounds] |= inside[1:-1][bounds]
     last[bounds - 1] |= inside[1:-1][bounds - 1]
-    start = np.flatnonzero(first)
-    return data, start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    for i in set(np.searchsorted(start, np.flatnonzero((raw[:-1] == OPENING[0]) & (raw[1:] == OPENING[1])), "right") - 1):
+        own = raw[start[i] : end[i]]  # the library looks for special strings before it lower-cases
+        data[start[i] : end[i]] = np.where(own == 0, NUL, own)
+    return data, start, end, np.searchsorted(start, offsets)
 
 
 class TokenTable:
@@ -156,7 +160,7 @@ class TokenTable:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, where each text's ids begin (n + 1), hash of every word, where each text's words begin (n + 1)."""
         data, start, end, text = word_spans(column)
-        hashes = range_hash(prefix_sums(data), start, end)
+        hashes = word_hash(data, start, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         new = self.missing(distinct)
         if len(self.keys) + len(new) > self.size:
