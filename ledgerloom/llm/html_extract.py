@@ -6,7 +6,8 @@ containers (div, section, ul and the like, in and around the article) from MIN_P
 pages on; prose elements (paragraphs, headings, quotes, tables) from PROSE_PAGES and PROSE_SHARE on, and these only in
 pages that mark no article, for copies of an article share its paragraphs. At most 1 / MIN_SHARE times the mean number of
 elements of a page can reach that share, so the list of a host is bounded. The rest is the article (or main, or body)
-without navigation, notices, adverts, forms and comments, which class, id and role name by whole words.
+without navigation, notices, adverts, forms and comments, which class, id and role name by whole words; of containers also
+by the first or last part of a name (reader-comments, ad-wrap), which takes articles inside comment lists with it.
 
 Reading is linear in the page, whatever its markup: no recursion, and no walk over open elements that closes none.
 
@@ -33,7 +34,7 @@ MIN_PAGES = 3
 PROSE_SHARE = 0.5
 PROSE_PAGES = 5
 #: Elements whose text is never the article's.
-DROPPED = frozenset("head nav footer aside form button select option textarea input label dialog menu noscript template svg math canvas object iframe script style title audio video".split())
+DROPPED = frozenset("head nav footer aside form button select option textarea input label dialog menu noscript template svg canvas object iframe script style title audio video".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -50,6 +51,10 @@ MARKS = frozenset(
     "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper comment-form comment-list comment-section comments-area comments-section complementary contentinfo cookie-banner cookie-bar cookie-consent cookie-notice footer-nav google-ad main-menu main-nav nav-bar newsletter-signup page-footer page-header post-comments "
     "related-articles related-links related-posts search share-buttons share-links side-bar site-footer site-header site-menu site-nav site-navigation site-notice skip-link social-links social-share top-bar top-nav user-comments".split()
 )
+#: Marks that may as well name what an article is about: they count only outside of it.
+WEAK = frozenset("notice notices related replies respond search social widget".split())
+#: Parts between hyphens that mark a container by themselves, at the beginning or the end of a name.
+STEMS = frozenset("ad ads advert adverts advertisement comment comments sponsored".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 #: What may still begin a token where no > follows.
 LAST_TOKEN = re.compile(r"<!--.*|<[!?].*", re.S)
@@ -72,8 +77,16 @@ def digest(data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def marked(attributes: str) -> bool:
-    return any(m[1].lower() in ("class", "id", "role") and not MARKS.isdisjoint((m[2] or m[3] or m[4] or "").lower().replace("_", "-").split()) for m in ATTRIBUTE.finditer(attributes))
+def marked(attributes: str, container: bool = True, inside: bool = False) -> bool:
+    """Whether class, id or role names what is no article text. inside: the element stands in the article."""
+    names = (n for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role") for n in (m[2] or m[3] or m[4] or "").lower().replace("_", "-").split())
+    for name in names:
+        if name in MARKS and not (inside and name in WEAK):
+            return True
+        ends = name.split("-")
+        if container and (STEMS.intersection((ends[0], ends[-1])) - {"ad", "ads"} or ends[0] in ("ad", "ads") and (len(ends) == 1 or ends[1] != "free") or re.fullmatch(r"ads?\d+", name)):
+            return True
+    return False
 
 
 def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]]]:
@@ -124,7 +137,7 @@ def read_page(html: str) -> tuple[list[Element], list[tuple[Element, str | None]
             top = end(top)
         attributes = m[3] or m[6] or ""
         inside = top.main
-        off = top.off or name in DROPPED or (name == "header" and not inside) or (bool(attributes.strip()) and name not in ("html", "body", "main") and marked(attributes))
+        off = top.off or name in DROPPED or (name == "header" and not inside) or (bool(attributes.strip()) and name not in ("html", "body", "main") and marked(attributes, name not in PROSE, inside))
         main = not off and (inside or name in ("article", "main"))
         top = Element(name, top, off, main)
         count[name] = count.get(name, 0) + 1

@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host priors.
 
 Text: naive Bayes over hashed byte trigrams of the whole lower-cased text, trained on a bounded sample of labelled rows
-(TRAIN_ROWS, the rows with the least hashes), tempered by TEMPER because trigrams aren't independent. The text's own
+(TRAIN_ROWS, an equal share for every language of all labelled rows: its distinct texts with the least hashes), tempered by TEMPER because trigrams aren't independent. The text's own
 posterior is summed by grouped aggregation into (a) how often each language declares each markup language, (b) stands
 under each address suffix and (c) on each host. Host priors are smoothed towards the host's domain and domains towards the
 whole table, without the row itself. The four log terms add up to the posterior.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import bytes_of, slices
@@ -44,9 +44,11 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """labelled: text, label -> languages, log probabilities (BUCKETS, languages)."""
     own = labelled.where("label is not null and length(text) > 0").withColumn("h", F.xxhash64("text", "label"))
-    limit = own.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if limit is None:
-        return [], np.zeros((BUCKETS, 0))
+    known = own.select("label", "h").distinct()
+    quota = -(-max_rows // max(1, known.select("label").distinct().count()))
+    least = Window.partitionBy("label").orderBy("h")
+    picked = known.withColumn("r", F.row_number().over(least)).where(F.col("r") <= quota).drop("r")
+    sample = own.join(picked, ["label", "h"]).dropDuplicates(["label", "h"])
 
     def count(batches):
         for batch in batches:
@@ -56,8 +58,10 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[str], n
                 key, n = np.unique(code[row] * BUCKETS + bucket, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[key // BUCKETS].tolist(), pa.string()), pa.array(key % BUCKETS, pa.int64()), pa.array(n, pa.int64())], names=["label", "bucket", "n"])
 
-    rows = own.where(F.col("h") <= limit).select("text", "label").mapInArrow(count, "label string, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = sample.select("text", "label").mapInArrow(count, "label string, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["label"] for r in rows})
+    if not languages:
+        return [], np.zeros((BUCKETS, 0))
     counts = np.full((BUCKETS, len(languages)), 0.1)
     for r in rows:
         counts[r["bucket"], languages.index(r["label"])] += r["n"]

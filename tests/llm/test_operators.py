@@ -350,16 +350,16 @@ def test_language_fusion_is_bayes_by_hand(spark, sf_dir, docs):
     languages, logs = train(labelled, 80)
     counts = np.full((BUCKETS, len(languages)), 0.1)
     keyed = sorted((r.h, r.label, r.text) for r in labelled.where("label is not null and length(text) > 0").withColumn("h", F.xxhash64("text", "label")).collect())
-    limit = keyed[min(80, len(keyed)) - 1][0]
+    quota = -(-80 // len({label for _, label, _ in keyed}))
+    sample = [x for name in sorted({label for _, label, _ in keyed}) for x in sorted({k for k in keyed if k[1] == name})[:quota]]
 
     def buckets(text):
         b = [x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in text.encode()]
         return [((b[k] * 0x9E37 + b[k + 1] * 0x79B9 + b[k + 2] * 0x1F35) ^ (b[k + 2] << 7)) % BUCKETS for k in range(len(b) - 2) if b[k + 1] != 32]
 
-    for h, label, text in keyed:
-        if h <= limit:
-            for k in buckets(text):
-                counts[k, languages.index(label)] += 1
+    for _, label, text in sample:
+        for k in buckets(text):
+            counts[k, languages.index(label)] += 1
     assert np.allclose(logs, np.log(counts / counts.sum(0)))
 
     def softmax(x):
