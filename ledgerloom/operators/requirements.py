@@ -1,16 +1,16 @@
 """Requirement ids of proposals with their context, without ids whose shape contradicts that of most.
 
 The list section of a document counts if it has ids, else its whole text. Null and empty texts have no ids; an id counts
-once, at its first place; repeated rows of one key are one document; ids are compared in upper case.
+once, at its first place; of several rows of one key the least text counts; ids are compared in upper case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import match_spans
-from ..functions.keys import compact_space, id_shape, last_number
+from ..functions.arrays import let, match_spans
+from ..functions.keys import compact_space, id_shape, last_number, prefix_related
 from ..functions.titles import nfkc
 
 # Fixed values.
@@ -48,29 +48,28 @@ def shape_conflicts(ids: DataFrame, keys: list[str]) -> DataFrame:
     """ids (keys, pos, requirement_id, ...) with kept, conflict_with and reason (prefix, number, or null).
 
     Where one shape has two ids or more and more than any other, an id of another shape goes if it is the beginning of an
-    id of that shape, or the other way round, or has the same last number; the first such id is named. Relations are found
-    by equi-joins on beginnings and numbers.
+    id of that shape, or the other way round, or has the same last number; the first such id is named. The distinct ids of one document,
+    which are few, are one array; nothing is joined, so the extraction below runs once.
     """
-    own = ids.withColumns({"_shape": id_shape(F.col("requirement_id")), "_n": F.regexp_replace(last_number(F.col("requirement_id")), "^0+(?=.)", "")})
-    counts = own.groupBy(*keys, "_shape").agg(F.count(F.lit(1)).alias("_count"))
-    top = counts.withColumns({"_top": F.max("_count").over(Window.partitionBy(*keys))}).where("_count = _top").groupBy(*keys).agg(F.count(F.lit(1)).alias("_ties"), F.min("_shape").alias("_dominant"), F.min("_count").alias("_count"))
-    top = top.where("_ties = 1 and _count > 1").select(*keys, "_dominant")
-    own = own.join(top, keys, "left")
-    starts = lambda c: F.transform(F.split(c, "-"), lambda x, i: F.array_join(F.slice(F.split(c, "-"), F.lit(1), i + 1), "-"))
-    dominant = own.where("_shape = _dominant").select(*keys, F.col("pos").alias("_pos"), F.col("requirement_id").alias("_id"), "_n", starts("requirement_id").alias("_starts"))
-    other = own.where("_shape <> _dominant").select(*keys, "requirement_id", "_n", starts("requirement_id").alias("_own"))
-    hit = lambda joined, rank: joined.select(*keys, "requirement_id", F.struct("_pos", F.lit(rank).alias("rank"), "_id").alias("h"))
-    by_number = hit(other.join(dominant, [*keys, "_n"]), 1)
-    longer = hit(other.withColumn("_id", F.explode("_own")).join(dominant, [*keys, "_id"]), 0)
-    shorter = hit(dominant.withColumn("requirement_id", F.explode("_starts")).join(other.select(*keys, "requirement_id"), [*keys, "requirement_id"]), 0)
-    first = by_number.unionByName(longer).unionByName(shorter).groupBy(*keys, "requirement_id").agg(F.min("h").alias("h"))
-    out = own.join(first, [*keys, "requirement_id"], "left")
+    columns = [c for c in ids.columns if c not in keys]
+    number = F.regexp_replace(last_number(F.col("requirement_id")), "^0+(?=.)", "")
+    listed = ids.groupBy(*keys).agg(F.collect_list(F.struct(*columns, id_shape(F.col("requirement_id")).alias("_shape"), number.alias("_n"))).alias("_ids"))
+    shapes = F.transform("_ids", lambda x: x["_shape"])
+    counts = F.transform(F.array_distinct(shapes), lambda s: F.struct(F.size(F.filter(shapes, lambda x: x == s)).alias("n"), s.alias("shape")))
+    largest = lambda c: F.filter(c, lambda x: (x["n"] == F.array_max(c)["n"]) & (x["n"] > 1))
+    dominant = let(counts, lambda c: F.when(F.size(largest(c)) == 1, F.get(largest(c), 0)["shape"]))
+    rows = listed.withColumn("_dominant", dominant).withColumn("_own", F.filter("_ids", lambda x: x["_shape"] == F.col("_dominant")))
+    a = F.col("_x.requirement_id")
+    rows = rows.select(*keys, "_dominant", "_own", F.explode("_ids").alias("_x"))
+    met = F.transform("_own", lambda d: F.struct(d["pos"].alias("pos"), F.when(prefix_related(a, d["requirement_id"]), 0).when(d["_n"] == F.col("_x._n"), 1).alias("rank"), d["requirement_id"].alias("id")))
+    hit = F.when(F.col("_x._shape") != F.col("_dominant"), F.array_min(F.filter(met, lambda h: h["rank"].isNotNull())))
+    out = rows.select(*keys, "_x", hit.alias("h"))
     reason = F.when(F.col("h.rank") == 0, "prefix").when(F.col("h.rank") == 1, "number")
-    return out.select(*ids.columns, F.col("h").isNull().alias("kept"), F.col("h._id").alias("conflict_with"), reason.alias("reason"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_x.{c}") for c in ids.columns], F.col("h").isNull().alias("kept"), F.col("h.id").alias("conflict_with"), reason.alias("reason"))
 
 
 def proposal_requirements(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, pos, requirement_id, matched_text, context, kept, conflict_with, reason."""
-    own = docs.select(*keys, requirement_text(F.col(text)).alias("_text")).dropDuplicates(keys).withColumn("_section", list_section(F.col("_text")))
+    own = docs.select(*keys, F.col(text).alias("_text")).groupBy(*keys).agg(F.min("_text").alias("_text")).withColumn("_text", requirement_text(F.col("_text"))).withColumn("_section", list_section(F.col("_text")))
     inside = F.when((F.col("_section") != "") & F.col("_section").rlike(f"{STRICT_ID}|{TOLERANT_ID}"), F.col("_section")).otherwise(F.col("_text"))
     return shape_conflicts(found_ids(own.withColumn("_t", inside), keys, "_t"), keys)

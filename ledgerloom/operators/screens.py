@@ -208,19 +208,21 @@ def screen_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     screens cut at their ids: all parts of a screen, distinct, one below the other.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARK, " ")
-    own = docs.select(id_col, text.alias("_text")).withColumn("_found", screen_candidates(F.col("_text")))
-    listed = own.where(F.size("_found") > 0).select(id_col, F.posexplode("_found").alias("_pos", "_c"))
-    rows = listed.select(id_col, F.col("_c.screen_id").alias("screen_id"), F.struct("_pos", block_score(F.col("_c.text")).alias("score"), F.trim("_c.text", F.lit(" \t\r\n")).alias("text"), "_c.title").alias("_b"))
+    own = docs.select(id_col, text.alias("_text"))
+    bare = lambda t: F.transform(id_runs(t), lambda r: F.struct(r["screen_id"].alias("screen_id"), F.lit(None).cast("string").alias("title"), r["text"].alias("text")))
+    found = let(F.col("_text"), lambda t: let(screen_candidates(t), lambda c: F.when(F.size(c) > 0, c).otherwise(bare(t))))
+    listed = own.select(id_col, F.posexplode(found).alias("_pos", "_c"))  # a null title: no numbered section, so no score
+    score = F.when(F.col("_c.title").isNotNull(), block_score(F.col("_c.text"))).otherwise(0).cast("bigint")
+    rows = listed.select(id_col, F.col("_c.screen_id").alias("screen_id"), F.struct("_pos", score.alias("score"), F.trim("_c.text", F.lit(" \t\r\n")).alias("text"), "_c.title").alias("_b"))
 
     def better(best: Column, b: Column) -> Column:
         title = F.when(b["title"] != "", b["title"]).otherwise(best["title"])
         return F.when(b["score"] > best["score"], F.struct(b["score"].alias("score"), b["text"].alias("text"), title.alias("title"))).otherwise(best)
 
     start = F.struct(F.lit(-1).cast("bigint").alias("score"), F.lit("").alias("text"), F.lit("").alias("title"))
-    ordered = F.array_sort(F.collect_list(F.struct("_b._pos", F.col("_b.score").cast("bigint").alias("score"), "_b.text", "_b.title")))
-    best = rows.groupBy(id_col, "screen_id").agg(F.min("_b._pos").alias("place"), F.aggregate(ordered, start, better).alias("_w")).select(id_col, "place", "screen_id", "_w.title", "_w.text")
-    bare = own.where(F.size("_found") == 0).select(id_col, F.posexplode(id_runs(F.col("_text"))).alias("_pos", "_p"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_p.text"))), lambda x: x["text"])
-    fallback = bare.groupBy(id_col, F.col("_p.screen_id").alias("screen_id")).agg(F.min("_pos").alias("place"), F.lit("").alias("title"), F.array_join(F.array_distinct(parts), "\n\n").alias("text"))
-    out = best.unionByName(fallback)
+    ordered = F.array_sort(F.collect_list(F.struct("_b._pos", "_b.score", "_b.text", "_b.title")))
+    groups = rows.groupBy(id_col, "screen_id").agg(F.min("_b._pos").alias("place"), ordered.alias("_o"))
+    parts = F.array_join(F.array_distinct(F.transform("_o", lambda x: x["text"])), "\n\n")
+    whole = F.when(F.get("_o", 0)["title"].isNull(), F.struct(F.lit(-1).cast("bigint").alias("score"), parts.alias("text"), F.lit("").alias("title"))).otherwise(F.aggregate("_o", start, better))
+    out = groups.select(id_col, "place", "screen_id", whole.alias("_w")).select(id_col, "place", "screen_id", "_w.title", "_w.text")
     return out.select(id_col, "place", "screen_id", F.regexp_replace("screen_id", "^UI", "UT").alias("unit_test_id"), "title", "text")

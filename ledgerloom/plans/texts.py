@@ -18,8 +18,8 @@ book = Book()
 WHERE line <> '' AND NOT regexp_full_match(line, '[0-9.\-_/()''"]+') AND regexp_matches(line, '[A-Za-z0-9]')""")
 def line_explode(spark, d):
     """All lines that have something to read, with their places; no limit on their length."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "_line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace(F.regexp_replace("_line", r"^[<>]+|[<>]+$", ""), r"\s+", " "), F.lit(" -")))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[<>]+|[<>]+$", ""), r"\s+", " "), F.lit(" -"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), clean)).alias("pos", "line"))  # cleaned once, in the array
     kept = (F.col("line") != "") & ~F.col("line").rlike(r"\A[\d.\-_/()'\"]+\z") & F.col("line").rlike("[A-Za-z0-9]")
     return lines.where(kept).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
