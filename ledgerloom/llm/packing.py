@@ -161,7 +161,9 @@ class TokenTable:
         """All ids, where each text's ids begin (n + 1), hash of every word, where each text's words begin (n + 1)."""
         data, start, end, text = word_spans(column)
         hashes = word_hash(data, start, end)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, which = np.unique(hashes, return_inverse=True)
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
         new = self.missing(distinct)
         if len(self.keys) + len(new) > self.size:
             self.forget()
@@ -306,6 +308,19 @@ def least_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def holders(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> np.ndarray:
+    """In how many documents, sizes ids each, every token stands: by marks for 64 long documents at a time, else by distinct pairs."""
+    if len(sizes) * vocabulary > 100 * len(ids):
+        return np.bincount(np.unique(np.repeat(np.arange(len(sizes)), sizes) * vocabulary + ids) % vocabulary, minlength=vocabulary)
+    out, ends = np.zeros(vocabulary, np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), 64):
+        b = min(a + 64, len(sizes))
+        seen = np.zeros((b - a) * vocabulary, bool)
+        seen[np.repeat(np.arange(b - a) * vocabulary, sizes[a:b]) + ids[ends[a] : ends[b]]] = True
+        out += seen.reshape(b - a, vocabulary).sum(0)
+    return out
+
+
 def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
     """doc_id, text -> doc_id, ids (packed, with the end id), two content keys, place (row of the input); besides, a row per
     task with df, in how many of its documents each token stands."""
@@ -321,8 +336,7 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 ids, starts, hashes, words = table.encode(part.column("text"))
                 n, sizes = part.num_rows, np.diff(starts)
-                vocab = np.unique(np.repeat(np.arange(n), sizes) * vocabulary + ids) % vocabulary
-                df += np.bincount(vocab, minlength=vocabulary)
+                df += holders(ids, sizes, vocabulary)
                 with_end = np.insert(ids, starts[1:], END).astype(width)
                 cuts = (starts + np.arange(n + 1)) * width.itemsize
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(with_end)]).cast(pa.binary())

@@ -8,7 +8,7 @@ import pytest
 
 from ledgerloom.llm import bytetext
 from ledgerloom.llm.bytetext import prefix_sums, range_hash, word_hash
-from ledgerloom.llm.packing import END, pack, tokenizer
+from ledgerloom.llm.packing import END, holders, pack, tokenizer
 from ledgerloom.llm.similar_sets import at_own_key
 
 
@@ -65,3 +65,11 @@ def test_a_pair_comes_out_at_one_key():
     assert at(5, [0, 0, 2, 3], [1, 2, 2, 3]) == [True, True, False, True]
     assert at(9, [0, 1], [1, 0]) == [False, False]
     assert at(1, [], []) == []
+
+
+def test_holders_of_tokens():
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(0, 9, 50), rng.integers(300, 900, 150), np.zeros(3, np.int64), np.zeros(0, np.int64)):
+        docs = [rng.integers(0, 70, n) for n in sizes]
+        ids = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.uint32)
+        assert holders(ids, sizes, 70).tolist() == [sum(t in d for d in docs) for t in range(70)]
