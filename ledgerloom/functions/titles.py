@@ -81,11 +81,11 @@ def without_attachment_tail(value: Column) -> Column:
     return F.when(bracketed != stem, bracketed).otherwise(word)
 
 
-def without_parentheses(value: Column, depth: int = 4) -> Column:
-    """Innermost parentheses become a space, up to `depth` times, which is all of them for that nesting."""
-    for _ in range(depth):
-        value = F.regexp_replace(value, PARENTHESES, " ")
-    return value
+def without_parentheses(value: Column) -> Column:
+    """Parentheses become a space, the innermost first, as often as there are any: nesting of any depth goes."""
+    times = lambda x: F.length(x) - F.length(F.regexp_replace(x, "[(（]", ""))
+    bare = let(value, lambda x: F.aggregate(F.sequence(F.lit(1), times(x)), x, lambda out, _: F.regexp_replace(out, PARENTHESES, " ")))
+    return F.when(value.rlike("[(（]"), bare).otherwise(value)
 
 
 def id_and_name(value: Column) -> tuple[Column, Column]:

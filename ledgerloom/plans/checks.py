@@ -12,12 +12,14 @@ from .common import Book, table
 book = Book()
 
 
-@book.query("SELECT p_partkey, 'Dir/' || p_name AS path FROM part WHERE p_partkey % 3 <> 0 AND lower(p_name) NOT IN (SELECT DISTINCT lower(p_name) FROM part WHERE p_size > 40)")
+@book.query("""WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.' || p_partkey ELSE 'Dir/' || p_name || '//' || p_partkey END AS path FROM part), x AS (SELECT lower('dir/' || p_name || '/' || p_partkey) AS k FROM part WHERE p_size > 40 UNION ALL SELECT lower(p_name || '.' || p_partkey) FROM part WHERE p_size < 3)
+SELECT p_partkey, path FROM f WHERE contains(path, '/') AND lower(replace(path, '//', '/')) NOT IN (SELECT k FROM x)""")
 def excluded_paths_removed(spark, d):
     """Files in folders that are not on the list of excluded paths."""
     part = table(spark, d, "part")
-    files = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("Dir/"), "p_name")).alias("path"))
-    listed = part.where("p_size > 40").select(F.concat(F.lit("\\dir\\"), F.upper("p_name"), F.lit("/")).alias("x"))
+    key = F.col("p_partkey").cast("string")
+    files = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("."), key)).otherwise(F.concat(F.lit("Dir/"), "p_name", F.lit("//"), key)).alias("path"))
+    listed = part.where("p_size > 40").select(F.concat(F.lit("\\dir\\"), F.upper("p_name"), F.lit("/"), key, F.lit("/")).alias("x")).union(part.where("p_size < 3").select(F.concat(F.upper("p_name"), F.lit("."), key)))
     return K.without_excluded(files, "path", listed, "x").where(K.below_top_level(F.col("path")))
 
 

@@ -128,13 +128,15 @@ PROPOSAL = f"""'SFR-ZZ-1 before'{NL}'기능 요구 사항'{NL}'SFR-AB-' || p_par
 
 
 @book.query(
-    """SELECT p_partkey, unnest(['SFR-AB-' || p_partkey, 'SFR-AB-' || (p_partkey + 1), 'SFR-' || p_partkey, 'SFR-A1-' || (p_partkey + 5)]) AS requirement_id,
-unnest(['SFR-AB-' || p_partkey, 's f r_ab - ' || (p_partkey + 1), 'SFR-' || p_partkey, 'SFR-A1-' || (p_partkey + 5)]) AS matched_text, unnest([true, true, false, true]) AS kept, unnest([NULL, NULL, 'SFR-AB-' || p_partkey, NULL]) AS conflict_with FROM part"""
+    rf"""WITH t AS (SELECT p_partkey, {PROPOSAL} AS t FROM part), s AS (SELECT p_partkey, substr(t, strpos(t, '기능')) AS t FROM t),
+u AS (SELECT p_partkey, t, unnest([{{'m': 'SFR-AB-' || p_partkey, 'k': 0}}, {{'m': 's f r_ab - ' || (p_partkey + 1), 'k': 1}}, {{'m': 'SFR-' || p_partkey, 'k': 2}}, {{'m': 'SFR-A1-' || (p_partkey + 5), 'k': 3}}]) AS x FROM s),
+p AS (SELECT *, CASE x.k WHEN 2 THEN strpos(t, chr(10) || x.m) ELSE strpos(t, x.m) - 1 END AS pos FROM u)
+SELECT p_partkey, CAST(pos AS INTEGER) AS pos, 'SFR-' || upper(regexp_replace(regexp_replace(x.m, '^(SFR-|s f r_)', ''), '\s*-\s*', '-', 'g')) AS requirement_id, x.m AS matched_text, trim(regexp_replace(substr(t, greatest(pos - 80, 0) + 1, pos + length(x.m) + 80 - greatest(pos - 80, 0)), '\s+', ' ', 'g')) AS context,
+ x.k <> 2 AS kept, CASE WHEN x.k = 2 THEN 'SFR-AB-' || p_partkey END AS conflict_with, CASE WHEN x.k = 2 THEN 'number' END AS reason FROM p"""
 )
 def requirement_ids_in_context(spark, d):
-    """Ids of the list section; one whose shape contradicts the others and whose number is taken goes."""
-    found = proposal_requirements(parts(spark, d, PROPOSAL), ["p_partkey"], "_t")
-    return found.select("p_partkey", "requirement_id", "matched_text", "kept", "conflict_with")
+    """Ids of the list section with their places and contexts; one whose shape contradicts the others and whose number is taken goes."""
+    return proposal_requirements(parts(spark, d, PROPOSAL), ["p_partkey"], "_t")
 
 
 STANDARD = f"""CASE p_partkey % 4 WHEN 0 THEN 'x'{NL}p_name || ' 문서관리표준 V1.0' WHEN 1 THEN p_type{NL}'문서관리표준' WHEN 2 THEN '문서관리표준 ' || p_brand ELSE 'x'{NL}'사업명 ' || p_name END"""

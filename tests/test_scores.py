@@ -45,3 +45,14 @@ def test_empty_tables_give_no_scores(spark):
     files, outputs = spark.createDataFrame([("f", "name", None, None, None)], FILES), spark.createDataFrame([("o", "A-01", "name", None)], OUTPUTS)
     assert file_scores(files.limit(0), outputs).count() == 0 and file_scores(files, outputs.limit(0)).count() == 0
     assert file_scores(files.union(files), outputs).count() == 2
+
+
+def test_parentheses_of_any_depth(spark):
+    from ledgerloom.functions.titles import title_key, without_parentheses
+
+    deep = "a" + "(" * 9 + "x" + ")" * 9 + "b"
+    rows = spark.createDataFrame([(deep,), ("plain",), (None,), ("a（b(c)d）e (f",), ("((",)], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(F.regexp_replace(without_parentheses(F.col("t")), " +", " ")).collect()] == ["a b", "plain", None, "a e (f", "(("]
+    assert rows.select(title_key(F.col("t"))).first()[0] == "ab"
