@@ -22,6 +22,7 @@ from .bytetext import bytes_of, slices
 from .common import materialise, ship_package
 
 TRAIN_ROWS = 4000
+MAX_SENT = 100_000
 BUCKETS = 1 << 16
 TEMPER = 0.1
 WEIGHT = 20.0  # pseudo-rows of a prior
@@ -45,10 +46,12 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[str], n
     """labelled: text, label -> languages, log probabilities (BUCKETS, languages)."""
     own = labelled.where("label is not null and length(text) > 0").withColumn("h", F.xxhash64("text", "label"))
     known = own.select("label", "h").distinct()
-    quota = -(-max_rows // max(1, known.select("label").distinct().count()))
+    n_labels = known.select("label").distinct().count()
+    quota = -(-max_rows // max(1, n_labels))
     least = Window.partitionBy("label").orderBy("h")
-    picked = known.withColumn("r", F.row_number().over(least)).where(F.col("r") <= quota).drop("r")
-    sample = own.join(picked, ["label", "h"]).dropDuplicates(["label", "h"])
+    limits = known.withColumn("r", F.row_number().over(least)).where(F.col("r") <= quota).groupBy("label").agg(F.max("h").alias("limit"))
+    limits = F.broadcast(limits) if n_labels <= MAX_SENT else limits  # a row for each label
+    sample = own.join(limits, "label").where(F.col("h") <= F.col("limit")).dropDuplicates(["label", "h"])
 
     def count(batches):
         for batch in batches:
