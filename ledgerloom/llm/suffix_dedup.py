@@ -7,10 +7,10 @@ arrays by gram hash. Where a smaller document holds the same context, the whole
 inside one task's slice are settled there, so a passage found everywhere sends one anchor per slice.
 
 Longest previous factors. What is left are first contexts that share a gram with a different context of another document:
-ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (prefix doubling to LENGTH
-bytes) of all contexts is built. Inside a run of suffixes with LENGTH bytes in common, the previous and the next suffix of
-a smaller document are the earlier matches of the longest-previous-factor array: the factor is LENGTH or longer exactly if
-one of them exists, and the later copy's bytes go.
+ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (prefix doubling to DEPTH
+bytes) of all contexts is built. Along suffix order the previous and the next suffix of a smaller document are the earlier
+matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
+Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
 
 Documents are shuffled once by id (the exchange is used for both joins); everything else is in packed arrays.
 
@@ -33,10 +33,13 @@ from .common import materialise, ship_package
 
 LENGTH = 50
 GRAM = 16
+DEPTH = 64  # suffixes are ordered by so many bytes, LENGTH or more
+BUCKET_BYTES = 8_000_000  # text whose anchors meet in one bucket, so that buckets grow in number, not in size
 REACH = LENGTH - GRAM  # an anchor's windows start at most so far before it
 LAST = np.int64(2**63 - 1)
 PACKED = "bucket int, grams binary, contexts binary, owners binary, places binary, doc_ids binary, text_hashes binary"
 MARKS = "doc_id bigint, text_hash bigint, places array<int>, fetch boolean"
+FACTORS = "doc_id bigint, text_hash bigint, places array<int>, lengths array<int>"
 
 
 def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -160,23 +163,63 @@ def pack_contexts(part: pa.RecordBatch, buckets: int):
         yield (b, data[chars].tobytes(), length.astype(np.uint8).tobytes(), ids[owner[rows]].tobytes(), hashes[owner[rows]].tobytes(), (start[rows] - offsets[owner[rows]]).astype(np.uint32).tobytes())
 
 
-def ranks_of(data: np.ndarray) -> np.ndarray:
-    """Rank of every suffix by its first LENGTH bytes (suffixes at the end by what they have)."""
-    n = len(data)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(64, np.uint64)])
-    key = np.zeros(n, np.uint64)
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place as a number that sorts like them; zeros behind the end."""
+    padded = np.concatenate([data.astype(np.uint64), np.zeros(DEPTH + 8, np.uint64)])
+    words = np.zeros(len(data) + DEPTH, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    rank, size = np.unique(key, return_inverse=True)[1].astype(np.uint64), 8
-    while size < LENGTH:
-        step = min(size, LENGTH - size)
+        words = words << np.uint64(8) | padded[k : k + len(words)]
+    return words
+
+
+def ranks_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Rank of every suffix by its first DEPTH bytes (suffixes at the end by what they have)."""
+    rank, size = np.unique(words[:n], return_inverse=True)[1].astype(np.uint64), 8
+    while size < DEPTH:
+        step = min(size, DEPTH - size)
         behind = np.concatenate([rank[step:], np.zeros(min(step, n), np.uint64)])[:n]
         rank, size = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64), size + step
     return rank
 
 
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value, -1 if there is none; by pointer jumping."""
+    least = np.append(values, np.iinfo(np.int64).min)  # place -1 ends every search
+    jump = np.append(np.arange(len(values)) - 1, -1)
+    open_ = np.arange(len(values))
+    while len(open_):
+        open_ = open_[least[jump[open_]] >= values[open_]]
+        jump[open_] = jump[jump[open_]]  # all between a place and its jump is as large or larger
+    return jump[:-1]
+
+
+def common_length(words: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at two places have in common, up to DEPTH."""
+    length, open_ = np.zeros(len(one), np.int64), np.arange(len(one))
+    for k in range(0, DEPTH, 8):
+        differ = words[one[open_] + k] ^ words[other[open_] + k]
+        length[open_] += sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8)) + (differ == 0)
+        open_ = open_[differ == 0]
+    return length
+
+
+def longest_previous_factors(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For suffixes (place, end of their context, document): the longest beginning found in a suffix of a smaller document."""
+    words = words_of(data)
+    order = np.argsort(ranks_of(words, len(data))[start], kind="stable")  # suffix order
+    small = np.unique(doc, return_inverse=True)[1][order].astype(np.int64)
+    n, factor = len(order), np.zeros(len(order), np.int64)
+    after = n - 1 - previous_smaller(small[::-1])[::-1]  # n if there is none
+    for near in (previous_smaller(small), np.where(after < n, after, -1)):
+        here = np.flatnonzero(near >= 0)
+        own, earlier = order[here], order[near[here]]
+        common = np.minimum(common_length(words, start[own], start[earlier]), np.minimum(end[own] - start[own], end[earlier] - start[earlier]))
+        factor[own] = np.maximum(factor[own], common)
+    return factor
+
+
 def previous_factors(table: pa.Table) -> pa.Table:
-    """Starts of LENGTH bytes that a smaller document of the bucket also holds."""
+    """Rows of FACTORS: starts and lengths of what a smaller document of the bucket also holds."""
     columns = [b"".join(table.column(c).to_pylist()) for c in ("data", "lengths", "ids", "hashes", "starts")]
     data, lengths, ids, hashes, starts = (np.frombuffer(x, k) for x, k in zip(columns, (np.uint8, np.uint8, np.int64, np.int64, np.uint32), strict=True))
     lengths = lengths.astype(np.int64)
@@ -184,33 +227,31 @@ def previous_factors(table: pa.Table) -> pa.Table:
     windows = lengths - LENGTH + 1
     context = np.repeat(np.arange(len(lengths)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank, doc = ranks_of(data)[begin[context] + offset], ids[context]
-    order = np.lexsort((context, rank))  # suffix order
-    rank, doc = rank[order], doc[order]
-    new = np.ones(len(rank), bool)
-    new[1:] = np.diff(rank) != 0
-    run = np.cumsum(new) - 1  # suffixes with LENGTH bytes in common
-    values, small = np.unique(doc, return_inverse=True)
-    wide = len(values) + 1
-    before = np.minimum.accumulate(small - run * wide) + run * wide  # least document of the run up to here, and from here on
-    back = run.max(initial=0) - run
-    after = (np.minimum.accumulate((small - back * wide)[::-1]))[::-1] + back * wide
-    gone = order[np.minimum(before, after) < small]
-    c = context[gone]
-    return mark_rows(ids[c], hashes[c], starts[c].astype(np.int64) + offset[gone], False).drop_columns(["fetch"])
-
-
-def remaining(text: bytes, contexts, windows) -> tuple[int, int, int, str]:
+    factor = longest_previous_factors(data, begin[context] + offset, (begin + lengths)[context], ids[context])
+    reach = np.where(factor >= LENGTH, offset + factor, 0)
+    covered = np.zeros(len(reach), bool)
+    covered[1:] = (context[1:] == context[:-1]) & (reach[1:] <= reach[:-1])
+    found = np.flatnonzero((reach > 0) & ~covered)
+    found = found[np.lexsort((hashes[context[found]], ids[context[found]]))]
+    c = context[found]
+    new = np.ones(len(c), bool)
+    new[1:] = (np.diff(ids[c]) != 0) | (np.diff(hashes[c]) != 0)
+    first = np.flatnonzero(new)
+    cuts = pa.array(np.append(first, len(c)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (starts[c].astype(np.int64) + offset[found], factor[found])]
+    return pa.table({"doc_id": ids[c[first]], "text_hash": hashes[c[first]], "places": lists[0], "lengths": lists[1]})
+
+
+def remaining(text: bytes, contexts, factors, lengths) -> tuple[int, int, int, str]:
     """Bytes, removed bytes, removed runs, sha256 of the rest."""
     n = len(text)
-    if contexts is None and windows is None:
+    if contexts is None and factors is None:
         return n, 0, 0, hashlib.sha256(text).hexdigest()
     step = np.zeros(n + 1, np.int64)
-    for places, left in ((contexts, REACH), (windows, 0)):
-        if places is not None and len(places):
-            p = np.asarray(places, np.int64)
-            np.add.at(step, np.maximum(p - left, 0), 1)
-            np.add.at(step, np.minimum(p + LENGTH, n), -1)
+    at, start, size = (np.asarray([] if x is None else x, np.int64) for x in (contexts, factors, lengths))
+    for low, high in ((at - REACH, at + LENGTH), (start, start + size)):
+        np.add.at(step, np.maximum(low, 0), 1)
+        np.add.at(step, np.minimum(high, n), -1)
     gone = np.cumsum(step[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
     return n, int(gone.sum()), runs, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
@@ -232,13 +273,14 @@ def mapped(df: DataFrame, make, names: list[str], kinds: str, size: int = 3_000_
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, text and the repeats: contexts (anchor places) and windows (starts), null if there are none."""
+    """doc_id, text_hash, text and the repeats: contexts (anchor places), factors (starts) and their lengths, null if none."""
     spark = docs.sparkSession
     ship_package(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 4 * partitions
+    n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(4 * partitions, n_bytes // BUCKET_BYTES), 2**31 - 1)
 
     names = [x.split()[0] for x in PACKED.split(", ")]
     packed = mapped(own, lambda part: pack_anchors(part, buckets), names, PACKED)
@@ -248,10 +290,14 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     asked = own.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
     kinds = "bucket int, data binary, lengths binary, ids binary, hashes binary, starts binary"
     contexts = mapped(asked, lambda part: pack_contexts(part, buckets), [x.split()[0] for x in kinds.split(", ")], kinds)
-    windows = contexts.groupBy("bucket").applyInArrow(previous_factors, "doc_id bigint, text_hash bigint, places array<int>")
-
-    every = found.where("not fetch").select("doc_id", "text_hash", F.col("places").alias("c"), F.lit(None).cast("array<int>").alias("w")).union(windows.select("doc_id", "text_hash", F.lit(None).cast("array<int>").alias("c"), F.col("places").alias("w")))
-    every = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("c")).alias("contexts"), F.flatten(F.collect_list("w")).alias("windows"))
+    factors = contexts.groupBy("bucket").applyInArrow(previous_factors, FACTORS)
+
+    none = F.lit(None).cast("array<int>")
+    whole = found.where("not fetch").select("doc_id", "text_hash", F.col("places").alias("c"), none.alias("f"), none.alias("l"))
+    every = whole.union(factors.select("doc_id", "text_hash", none.alias("c"), F.col("places").alias("f"), F.col("lengths").alias("l")))
+    pairs = F.flatten(F.collect_list(F.when(F.col("f").isNotNull(), F.arrays_zip("f", "l"))))
+    every = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("c")).alias("contexts"), pairs.alias("p"))
+    every = every.select("doc_id", "text_hash", "contexts", F.col("p.f").alias("factors"), F.col("p.l").alias("lengths"))
     return own.join(every.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
 
 
@@ -263,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").cast(pa.binary() if pa.types.is_string(part.column("text").type) else pa.large_binary()).to_pylist()
-                rows = [remaining(t, c, w) for t, c, w in zip(texts, part.column("contexts").to_pylist(), part.column("windows").to_pylist(), strict=True)]
+                rows = [remaining(*row) for row in zip(texts, *(part.column(c).to_pylist() for c in ("contexts", "factors", "lengths")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
