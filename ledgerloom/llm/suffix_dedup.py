@@ -7,8 +7,8 @@ arrays by gram hash. Where a smaller document holds the same context, the whole
 inside one task's slice are settled there, so a passage found everywhere sends one anchor per slice.
 
 Longest previous factors. What is left are first contexts that share a gram with a different context of another document:
-ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (prefix doubling to DEPTH
-bytes) of all contexts is built. Along suffix order the previous and the next suffix of a smaller document are the earlier
+ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
+the suffixes whose first LENGTH bytes have a hash that comes again: no other can have a factor that long. Along suffix order the previous and the next suffix of a smaller document are the earlier
 matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
 Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
 
@@ -172,14 +172,12 @@ def words_of(data: np.ndarray) -> np.ndarray:
     return words
 
 
-def ranks_of(words: np.ndarray, n: int) -> np.ndarray:
-    """Rank of every suffix by its first DEPTH bytes (suffixes at the end by what they have)."""
-    rank, size = np.unique(words[:n], return_inverse=True)[1].astype(np.uint64), 8
-    while size < DEPTH:
-        step = min(size, DEPTH - size)
-        behind = np.concatenate([rank[step:], np.zeros(min(step, n), np.uint64)])[:n]
-        rank, size = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64), size + step
-    return rank
+def suffix_order(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at the given places by their first DEPTH bytes, eight at a time from the last to the first."""
+    order = np.arange(len(start))
+    for k in range(DEPTH - 8, -1, -8):
+        order = order[np.argsort(words[start[order] + k], kind="stable")]
+    return order
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -206,7 +204,7 @@ def common_length(words: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.n
 def longest_previous_factors(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For suffixes (place, end of their context, document): the longest beginning found in a suffix of a smaller document."""
     words = words_of(data)
-    order = np.argsort(ranks_of(words, len(data))[start], kind="stable")  # suffix order
+    order = suffix_order(words, start)
     small = np.unique(doc, return_inverse=True)[1][order].astype(np.int64)
     n, factor = len(order), np.zeros(len(order), np.int64)
     after = n - 1 - previous_smaller(small[::-1])[::-1]  # n if there is none
@@ -218,6 +216,16 @@ def longest_previous_factors(data: np.ndarray, start: np.ndarray, end: np.ndarra
     return factor
 
 
+def come_again(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the LENGTH bytes at the given places have a hash that another place has too."""
+    hashes = range_hash(prefix_sums(data), start, start + LENGTH)
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return np.zeros(len(start), bool)
+    return twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+
+
 def previous_factors(table: pa.Table) -> pa.Table:
     """Rows of FACTORS: starts and lengths of what a smaller document of the bucket also holds."""
     columns = [b"".join(table.column(c).to_pylist()) for c in ("data", "lengths", "ids", "hashes", "starts")]
@@ -227,10 +235,12 @@ def previous_factors(table: pa.Table) -> pa.Table:
     windows = lengths - LENGTH + 1
     context = np.repeat(np.arange(len(lengths)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    again = come_again(data, begin[context] + offset)
+    context, offset = context[again], offset[again]
     factor = longest_previous_factors(data, begin[context] + offset, (begin + lengths)[context], ids[context])
     reach = np.where(factor >= LENGTH, offset + factor, 0)
     covered = np.zeros(len(reach), bool)
-    covered[1:] = (context[1:] == context[:-1]) & (reach[1:] <= reach[:-1])
+    covered[1:] = (context[1:] == context[:-1]) & (offset[1:] == offset[:-1] + 1) & (reach[1:] <= reach[:-1])
     found = np.flatnonzero((reach > 0) & ~covered)
     found = found[np.lexsort((hashes[context[found]], ids[context[found]]))]
     c = context[found]
@@ -285,6 +295,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = [x.split()[0] for x in PACKED.split(", ")]
     packed = mapped(own, lambda part: pack_anchors(part, buckets), names, PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(compare_contexts, MARKS))
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the anchors' shuffle, which nothing reads any more
 
     wanted = found.where("fetch").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
     asked = own.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
