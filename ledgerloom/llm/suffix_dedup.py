@@ -8,7 +8,7 @@ inside one task's slice are settled there, so a passage found everywhere sends o
 
 Longest previous factors. What is left are first contexts that share a gram with a different context of another document:
 ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
-the suffixes whose first LENGTH bytes have a hash that comes again: no other can have a factor that long. Along suffix order the previous and the next suffix of a smaller document are the earlier
+the suffixes whose first LENGTH bytes have a hash that another document has too: no other can have a factor that long. Along suffix order the previous and the next suffix of a smaller document are the earlier
 matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
 Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
 
@@ -216,14 +216,18 @@ def longest_previous_factors(data: np.ndarray, start: np.ndarray, end: np.ndarra
     return factor
 
 
-def come_again(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which of the LENGTH bytes at the given places have a hash that another place has too."""
+def come_again(data: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of the LENGTH bytes at the given places have a hash that another document has too."""
+    if not len(start):
+        return np.zeros(0, bool)
     hashes = range_hash(prefix_sums(data), start, start + LENGTH)
-    ordered = np.sort(hashes)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
-        return np.zeros(len(start), bool)
-    return twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+    order = np.argsort(hashes)
+    new = np.append(True, np.diff(hashes[order]) != 0)
+    first = np.flatnonzero(new)
+    shared = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+    again = np.zeros(len(start), bool)
+    again[order] = shared[np.cumsum(new) - 1]
+    return again
 
 
 def previous_factors(table: pa.Table) -> pa.Table:
@@ -235,7 +239,7 @@ def previous_factors(table: pa.Table) -> pa.Table:
     windows = lengths - LENGTH + 1
     context = np.repeat(np.arange(len(lengths)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    again = come_again(data, begin[context] + offset)
+    again = come_again(data, begin[context] + offset, ids[context])
     context, offset = context[again], offset[again]
     factor = longest_previous_factors(data, begin[context] + offset, (begin + lengths)[context], ids[context])
     reach = np.where(factor >= LENGTH, offset + factor, 0)
