@@ -12,7 +12,8 @@ the suffixes whose first LENGTH bytes have a hash that another document has too:
 matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
 Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
 
-Documents are shuffled once by id (the exchange is used for both joins); everything else is in packed arrays.
+Documents are shuffled by id for each of the two joins; what is found is written in between, so that neither the anchors
+nor the contexts stay on disk until the end. Everything else is in packed arrays.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all; rows with one id never remove each other's bytes;
 repeated rows give repeated results; a null id counts as larger than every other; an empty table gives an empty result;
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import bytes_of, mix, powers, prefix_sums, range_hash, slices
-from .common import materialise, ship_package
+from .common import drop_written, materialise, ship_package, written
 
 LENGTH = 50
 GRAM = 16
@@ -298,6 +299,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     names = [x.split()[0] for x in PACKED.split(", ")]
     packed = mapped(own, lambda part: pack_anchors(part, buckets), names, PACKED)
+    before = len(written(spark))
     found = materialise(packed.groupBy("bucket").applyInArrow(compare_contexts, MARKS))
     spark._jvm.System.gc()  # lets Spark's cleaner delete the anchors' shuffle, which nothing reads any more
 
@@ -312,7 +314,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     every = whole.union(factors.select("doc_id", "text_hash", none.alias("c"), F.col("places").alias("f"), F.col("lengths").alias("l")))
     pairs = F.flatten(F.collect_list(F.when(F.col("f").isNotNull(), F.arrays_zip("f", "l"))))
     every = every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("c")).alias("contexts"), pairs.alias("p"))
-    every = every.select("doc_id", "text_hash", "contexts", F.col("p.f").alias("factors"), F.col("p.l").alias("lengths"))
+    every = materialise(every.select("doc_id", "text_hash", "contexts", F.col("p.f").alias("factors"), F.col("p.l").alias("lengths")))
+    drop_written(spark, written(spark)[before:-1])
+    spark._jvm.System.gc()
     return own.join(every.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
 
 
