@@ -65,7 +65,7 @@ KEY = "lower(regexp_replace(regexp_replace({}, '[_-]?[vV][0-9]+(?:\\.[0-9]+)*',
 @book.query(f"""WITH p AS (SELECT page_id, {PARTS} AS p FROM pages), k AS (SELECT page_id, array_to_string(p, '/') AS path, list_transform(p[:-2], lambda x: {KEY.format('x')}) AS k, coalesce(p[-1], '') AS name FROM p)
 SELECT page_id, path FROM k WHERE NOT list_has_any(k, ['es', '2024', '01', '00', 'old', '구버전', '양식', '회신용']) AND NOT regexp_matches(name, '(?i)(?:^|[_-])v0\\.9(?:$|[^0-9])') AND (len(k) = 0 OR k[1] <> 'de') AND NOT starts_with(name, '(2024)')""")
 def pages_scanned(spark, d):
-    """Pages that a policy keeps: no old or ignored folder, and below a wanted one or at the top."""
+    """Pages that a policy keeps: in no old or ignored folder and not below the one that another policy keeps to."""
     pages = table(spark, d, "pages").select("page_id", page_parts().alias("p"))
     pages = pages.withColumns({"_folders": F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), "_name": F.coalesce(F.try_element_at("p", F.lit(-1)), F.lit(""))})
     kept = pages.where(P.should_scan(F.col("_folders"), F.col("_name"), ignored=("es",)))
@@ -82,7 +82,7 @@ def templates_of_pages(spark, d):
     """The longest catalog path in a page's folders: numbers before names and folders that only pass through don't count."""
     pages = table(spark, d, "pages").select("page_id", page_parts().alias("parts"))
     runs = pages.where(F.size("parts") >= 2).select(F.slice("parts", 1, 2).alias("t")).union(pages.where(F.size("parts") >= 1).select(F.slice("parts", 1, 1))).distinct()
-    templates = runs.select(F.array_join("t", "/").alias("name"), F.transform("t", lambda x: F.concat(F.lit("07. "), x)).alias("template"))
+    templates = runs.select(F.array_join("t", "/").alias("name"), F.transform("t", lambda x: F.when(x.rlike("^[0-9]"), x).otherwise(F.concat(F.lit("07. "), x))).alias("template"))
     plain = templates.withColumn("template", F.when(F.length("name") % 2 == 0, F.split("name", "/")).otherwise(F.col("template")))
     return P.templates_of_paths(pages, ["page_id"], "parts", plain, "template", "name", ("en",)).select("page_id", F.col("name").alias("template"))
 
