@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: White space of the word and line rules: space, tab, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,10 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Within it a query's shuffles are deleted as the query ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Nothing reads the write's shuffles again, so Spark deletes them as it ends.
+    """
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     written(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import bytes_of, mix, powers, prefix_sums, range_hash, slices
-from .common import materialise, ship_package
+from .common import drop_written, materialise, ship_package, written
 
 LENGTH = 50
 GRAM = 16
@@ -299,7 +299,6 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = [x.split()[0] for x in PACKED.split(", ")]
     packed = mapped(own, lambda part: pack_anchors(part, buckets), names, PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(compare_contexts, MARKS))
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the anchors' shuffle, which nothing reads any more
 
     wanted = found.where("fetch").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
     asked = own.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
@@ -317,7 +316,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of what is left."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of what is left. The rows are written, and what led to them is deleted."""
+    spark = docs.sparkSession
+    before = len(written(spark))
     joined = repeats(docs, id_col, text_col)
 
     def run(batches):
@@ -327,5 +328,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = [remaining(*row) for row in zip(texts, *(part.column(c).to_pylist() for c in ("contexts", "factors", "lengths")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = materialise(joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
+    drop_written(spark, written(spark)[before:-1])
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(LAST), F.col("doc_id"))).withColumnRenamed("doc_id", id_col)
