@@ -17,9 +17,13 @@ def contiguous_runs(parts: Column) -> Column:
 def longest_templates(files: DataFrame, keys: list[str], parts: str, templates: DataFrame, template: str, order: str, all_longest: bool = False) -> DataFrame:
     """files joined to the longest template whose parts stand in a row in the path; the first of equals, or all of them.
 
-    An equi-join on the runs of a path (a handful), not a comparison of every path with every template.
+    An equi-join on the runs of a path (a handful), not a comparison of every path with every template. Of templates with
+    equal parts only the first can be wanted, unless all are, so a run meets one row however many templates share it.
     """
     keyed = templates.withColumn("_run", F.array_join(template, "/")).withColumn("_n", F.size(template)).where("_n > 0")
+    if not all_longest:
+        first = F.min_by(F.struct(*templates.columns), F.struct(order))
+        keyed = keyed.groupBy("_run", "_n").agg(first.alias("_t")).select("_t.*", "_run", "_n")
     pairs = files.withColumn("_run", F.explode(contiguous_runs(F.col(parts)))).join(keyed, "_run")
     w = Window.partitionBy(*keys)
     if all_longest:

@@ -112,3 +112,13 @@ def test_templates_and_reading(spark):
 @pytest.mark.parametrize(("alias", "name", "generic"), [("abcd", "abcde", True), ("abcde", "abcdef", False), ("시험결과서", "단위시험결과서", True), ("abcdef", "", True), ("abcdef", None, True)])
 def test_generic_alias(spark, alias, name, generic):
     assert value(spark, P.is_generic_alias(F.lit(alias), F.lit(name).cast("string"))) is generic
+
+
+def test_a_run_meets_one_template_however_many_share_it(spark):
+    """Templates that differ in their numbers only are one run; before, every file met each of them."""
+    files = spark.range(300).select("id", F.array(F.concat("id", F.lit(". a")), F.lit("b"), F.lit("c")).alias("parts"))
+    templates = spark.range(300).select(F.array(F.concat("id", F.lit("-A")), F.lit("b")).alias("template"), F.lpad(F.col("id").cast("string"), 3, "0").alias("name"))
+    found = P.templates_of_paths(files, ["id"], "parts", templates, "template", "name")
+    assert "min_by" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.name) for r in found.collect()} == {(i, "000") for i in range(300)}
+    assert P.templates_of_paths(files, ["id"], "parts", templates, "template", "name", all_longest=True).count() == 300 * 300
