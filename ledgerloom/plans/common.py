@@ -7,6 +7,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores: a table of few megabytes comes in one or two splits, which is slow where rows take long."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 class Book:
     """Registers functions (spark, sf_dir) -> DataFrame together with their SQL."""
 

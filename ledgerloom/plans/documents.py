@@ -14,7 +14,7 @@ from ..operators import screens as S
 from ..operators.extract import text_lines
 from ..operators.identity import cover_identities, meaningful_lines, standard_project_title
 from ..operators.requirements import proposal_requirements
-from .common import Book, table
+from .common import Book, spread, table
 
 book = Book()
 NL = " || chr(10) || "
@@ -28,7 +28,7 @@ ELSE '&lt;목 차&gt;'{NL}'---' END"""
 
 
 def parts(spark, d, text):
-    return table(spark, d, "part").select("p_partkey", "p_name", F.expr(text).alias("_t"))
+    return spread(table(spark, d, "part")).select("p_partkey", "p_name", F.expr(text).alias("_t"))
 
 
 @book.query(
