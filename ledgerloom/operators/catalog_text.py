@@ -121,37 +121,41 @@ def loose_line_output(line: Column) -> Column:
 
 def runs(line: Column) -> Column:
     """Array of struct start, value: what single spaces hold together, and where it begins (from 0)."""
-    values = F.regexp_extract_all(line, F.lit(RUN), F.lit(0))
-    gaps = F.transform(F.split(line, RUN, -1), lambda x: F.length(x))
     before = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda n, x: n + x)
-    widths = F.transform(values, lambda x: F.length(x))
-    placed = F.transform(values, lambda v, i: F.struct((before(gaps, i + 1) + before(widths, i)).alias("start"), composed_text(v).alias("value")))
-    return F.filter(placed, lambda r: r["value"] != "")
+    lengths = lambda a: F.transform(a, lambda x: F.length(x))
+
+    def placed(values: Column, gaps: Column, widths: Column) -> Column:
+        return F.transform(values, lambda v, i: F.struct((before(gaps, i + 1) + before(widths, i)).alias("start"), composed_text(v).alias("value")))
+
+    found = let(F.regexp_extract_all(line, F.lit(RUN), F.lit(0)), lambda v: let(lengths(F.split(line, RUN, -1)), lambda g: let(lengths(v), lambda w: placed(v, g, w))))
+    return F.filter(found, lambda r: r["value"] != "")
 
 
 def header_columns(line: Column) -> Column:
     """Struct name_start, name_end, id_start, id_end of a header line with a name and an id column; null for other lines."""
-    headers = F.transform(runs(line), lambda r: F.struct(r["start"].alias("start"), composed_key(r["value"]).alias("key")))
 
-    def start(names: tuple[str, ...]) -> Column:
+    def start(headers: Column, names: tuple[str, ...]) -> Column:
         holds = lambda k: k.rlike("|".join(names))
         return F.coalesce(F.get(F.filter(headers, lambda h: h["key"].isin(*names)), 0)["start"], F.get(F.filter(headers, lambda h: holds(h["key"])), 0)["start"])
 
-    end = lambda at: F.array_min(F.transform(F.filter(headers, lambda h: h["start"] > at), lambda h: h["start"]))
-    name, id_ = start(("산출물명", "문서명")), start(("산출물id", "관리문서id", "문서id", "id"))
-    return F.when(name.isNotNull() & id_.isNotNull(), F.struct(name.alias("name_start"), end(name).alias("name_end"), id_.alias("id_start"), end(id_).alias("id_end")))
+    def columns(headers: Column) -> Column:
+        end = lambda at: F.array_min(F.transform(F.filter(headers, lambda h: h["start"] > at), lambda h: h["start"]))
+        of = lambda name, id_: F.when(name.isNotNull() & id_.isNotNull(), F.struct(name.alias("name_start"), end(name).alias("name_end"), id_.alias("id_start"), end(id_).alias("id_end")))
+        return let(start(headers, ("산출물명", "문서명")), lambda name: let(start(headers, ("산출물id", "관리문서id", "문서id", "id")), lambda id_: of(name, id_)))
+
+    return let(F.transform(runs(line), lambda r: F.struct(r["start"].alias("start"), composed_key(r["value"]).alias("key"))), columns)
 
 
-def value_in_column(line: Column, start: Column, end: Column) -> Column:
+def value_in_column(placed: Column, start: Column, end: Column) -> Column:
     """The runs that begin in a column, with two characters of play at both sides."""
     inside = lambda r: (r["start"] >= F.greatest(start - 2, F.lit(0))) & (end.isNull() | (r["start"] < F.greatest(end - 2, start)))
-    return composed_text(F.array_join(F.transform(F.filter(runs(line), inside), lambda r: r["value"]), " "))
+    return composed_text(F.array_join(F.transform(F.filter(placed, inside), lambda r: r["value"]), " "))
 
 
 def column_output(line: Column, columns: Column) -> Column:
     """Struct output_id, output_name of a line by a header's columns; null for other lines, or without columns."""
-    output_id, name = value_in_column(line, columns["id_start"], columns["id_end"]), value_in_column(line, columns["name_start"], columns["name_end"])
-    found = F.struct(output_id.alias("output_id"), name.alias("output_name"))
+    value = lambda placed, of: value_in_column(placed, columns[f"{of}_start"], columns[f"{of}_end"])
+    found = let(runs(line), lambda placed: F.struct(value(placed, "id").alias("output_id"), value(placed, "name").alias("output_name")))
     return F.when(columns.isNotNull() & ~is_page_or_table_header(composed_text(line)), let(found, lambda o: F.when(is_loose_id(o["output_id"]) & is_loose_name(o["output_name"]), o)))
 
 

@@ -10,7 +10,7 @@ from ..operators.questions import matches_by_questions
 from ..operators.stages import stage_templates
 from ..operators.tails import kept_tail, path_with_id, standard_tails, variants_by_tail
 from ..operators.test_cases import test_cases
-from .common import Book, table
+from .common import Book, spread, table
 from .scoring import ID, PREVIEW, SCORES, STEM, TITLE
 
 book = Book()
@@ -55,7 +55,7 @@ u AS (SELECT p_partkey, pos, regexp_extract(line, 'PMC-[A-Z]+-[0-9][0-9]') AS ou
 SELECT * FROM o UNION ALL SELECT * FROM c UNION ALL SELECT * FROM u""")
 def section_parsers(spark, d):
     """Outputs of sections by the first parser that finds some: names above ids, columns of a header, loose ids, output ids."""
-    sections = table(spark, d, "part").select("p_partkey", F.expr(SECTION).alias("t"))
+    sections = spread(table(spark, d, "part")).select("p_partkey", F.expr(SECTION).alias("t"))
     lines = sections.select("p_partkey", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     return section_outputs(lines, ["p_partkey"]).withColumn("pos", F.col("pos").cast("bigint"))
 
