@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.titles import composed_key
 
 # Fixed values.
@@ -131,22 +132,27 @@ def revision_columns(labels: Column) -> Column:
     names = ("version", "date", "author", "reason", "detail", "approval")
     none = F.struct(*[F.lit(None).cast("int").alias(n) for n in names])
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    holds = lambda label, words: F.regexp_replace(label, r"\s+", "").rlike("|".join(words))
+
+    def kind_of(label: Column, behind: Column) -> Column:
+        def by(bare: Column) -> Column:
+            holds = lambda words: bare.rlike("|".join(words))
+            return (
+                F.when(holds(VERSION_LABELS), "version")
+                .when(holds(DATE_LABELS), "date")
+                .when(holds(REASON_LABELS), "reason")
+                .when(holds(DETAIL_LABELS), "detail")
+                .when(F.coalesce(behind, F.lit(False)), "date")
+                .when(holds(AUTHOR_LABELS), "author")
+                .when(holds(APPROVAL_LABELS), "approval")
+            )
+
+        return let(F.regexp_replace(label, r"\s+", ""), by)
 
     def step(state: Column, raw: Column) -> Column:
         label, at, found = F.coalesce(raw, F.lit("")), state["at"], state["found"]
         behind = (at == found["version"] + 1) & found["date"].isNull() & label.rlike(VERSION_VALUE)
-        kind = (
-            F.when(holds(label, VERSION_LABELS), "version")
-            .when(holds(label, DATE_LABELS), "date")
-            .when(holds(label, REASON_LABELS), "reason")
-            .when(holds(label, DETAIL_LABELS), "detail")
-            .when(F.coalesce(behind, F.lit(False)), "date")
-            .when(holds(label, AUTHOR_LABELS), "author")
-            .when(holds(label, APPROVAL_LABELS), "approval")
-        )
-        places = F.struct(*[F.when(kind == n, at).otherwise(found[n]).alias(n) for n in names])
-        return F.struct((at + 1).alias("at"), places.alias("found"))
+        places = lambda kind: F.struct(*[F.when(kind == n, at).otherwise(found[n]).alias(n) for n in names])
+        return F.struct((at + 1).alias("at"), let(kind_of(label, behind), places).alias("found"))
 
     whole = lambda f: f["version"].isNotNull() & f["date"].isNotNull() & f["author"].isNotNull()
     return F.aggregate(labels, start, step, lambda s: F.when(whole(s["found"]), s["found"]))

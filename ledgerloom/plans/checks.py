@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.keys import last_part, without_sequence_marker
 from ..operators import checks as K
 from ..operators.paths import records_for_names
-from .common import Book, table
+from .common import Book, spread, table
 
 book = Book()
 
@@ -101,9 +102,9 @@ def revision_table_columns(spark, d):
     k = F.col("p_partkey") % 4
     row = lambda *x: F.array(*[F.lit(v) for v in x])
     labels = F.when(k == 0, row("문서 버전", "개정일자", "작 성 자", "변경사유", "변경 내용", "승인자")).when(k == 1, row("작성자", "Version", "1.0")).when(k == 2, row("버전", "개정일자", "작성자", "변경일")).otherwise(row("버전", "작성자"))
-    found = K.revision_columns(labels)
-    places = F.concat_ws(",", *[F.coalesce(found[n].cast("string"), F.lit("")) for n in ("version", "date", "author", "reason", "detail", "approval")])
-    return table(spark, d, "part").select("p_partkey", F.when(found.isNull(), "").otherwise(places).alias("places"))
+    places = lambda found: F.concat_ws(",", *[F.coalesce(found[n].cast("string"), F.lit("")) for n in ("version", "date", "author", "reason", "detail", "approval")])
+    once = let(K.revision_columns(labels), lambda found: F.when(found.isNull(), "").otherwise(places(found)))
+    return spread(table(spark, d, "part")).select("p_partkey", once.alias("places"))
 
 
 @book.query(
