@@ -80,13 +80,19 @@ def syndrome(word: Column) -> Column:
 
 
 def fuzzy_keys(fingerprints: DataFrame) -> DataFrame:
-    """fp -> fp, key: rows of fingerprints that differ in up to 4 bits share a key."""
-    table = F.broadcast(golay_table(fingerprints.sparkSession))  # 2048 rows
-    df = fingerprints
-    for i, (shift, width) in enumerate(SEGMENTS):
-        word = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    """fp -> fp, key: rows of fingerprints that differ in up to 4 bits share a key.
+
+    Segments and syndromes are written before the joins, which would else carry their long expressions through every
+    step of the driver's planning; they are dealt out to all cores, as each row becomes some 120.
+    """
+    spark = fingerprints.sparkSession
+    table = F.broadcast(golay_table(spark))  # 2048 rows
+    words = {f"x{i}": F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i, (shift, width) in enumerate(SEGMENTS)}
+    df = fingerprints.select("fp", *[w.alias(x) for x, w in words.items()], *[syndrome(w).alias(x.replace("x", "s")) for x, w in words.items()])
+    df = materialise(df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    for i, (_, width) in enumerate(SEGMENTS):
         own = table.select(F.col("syndrome").alias(f"s{i}"), *[F.col(f"w{width}_{k}").alias(f"d{i}_{k}") for k in (0, 1, 2)])
-        df = df.withColumn(f"x{i}", word).withColumn(f"s{i}", syndrome(F.col(f"x{i}"))).join(own, f"s{i}")
+        df = df.join(own, f"s{i}")
 
     def index(i: int, k: int) -> Column:  # indices of the codewords that segment i reaches by up to k flips, in place
         return F.transform(f"d{i}_{k}", lambda d: F.shiftleft(F.shiftright(F.col(f"x{i}").bitwiseXOR(d), 11), 24 - 12 * i))
