@@ -170,6 +170,17 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def fingerprint_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, component_id of groups by fingerprints, each checked by the similarity of shingle sets.
+
+    Documents of a fingerprint group are candidates, verified at 0.8 with their group's least set; what fingerprints don't
+    bring together at that similarity (they can't bring all) is added by the sets' prefixes.
+    """
+    groups = fingerprint_groups(docs, id_col, text_col, shingle)
+    several = groups.select("text_hash", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).alias("group"))
+    return near_duplicates(docs, id_col, text_col, shingle, candidates=materialise(several.distinct()))
+
+
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     out = fingerprint_groups(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -103,3 +103,22 @@ def test_near_dedup_is_that_of_all_pairs(spark, sf_dir, stages, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], schema)
     left = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
     assert sorted(r.doc_id for r in left) == sorted({find(i) for i in ids})
+
+
+def test_near_dedup_takes_its_candidates_from_fingerprints(spark, sf_dir, monkeypatch):
+    """Groups of fingerprints are the first candidates, and each is verified: a wrong group joins nothing."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import simhash
+
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    rows = [(i, t, "en", None, 1) for i, t in enumerate([*texts, texts[0] + " q"])]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), []
+
+    def one_group(*args):
+        seen.append(args[0].columns)
+        return args[0].select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
+
+    monkeypatch.setattr(simhash, "fingerprint_groups", one_group)
+    left = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    assert len(seen) == 1 and sorted(r.doc_id for r in left) == [0, 1, 2]
