@@ -5,7 +5,7 @@ output_name, aliases (array; empty or null: the name alone). Only pairs that sha
 made: by equi-joins on their first characters, never all pairs.
 
 Defined cases: a null stem matches nothing; a null title, preview or id counts as empty; a file that has an error is
-scored by its name only; repeated rows give repeated pairs; several aliases give the best of their scores; empty tables
+scored by its name only; files without a key have no pairs; repeated rows give repeated pairs; several aliases give the best of their scores; empty tables
 give no rows.
 """
 
@@ -16,25 +16,38 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import best_gestalt_ratio
 from ..functions.titles import ID_IN_NAME, composed_key, id_prefix, keys_of, name_in_id, nfkc, title_key, without_attachment_tail, without_leading_ids, without_parentheses
+from ..tables import materialise
 from .match import ALIAS_HOLDS, NAME_EQUAL, NAME_HOLDS, PREVIEW_HOLDS, TITLE_EQUAL, TITLE_HOLDS, containment_join
 
 # Fixed values.
 ID_EQUAL, ID_PREFIX, TITLES_DIFFER, LEAST_WITH_OTHER_ID = 1.00, 0.98, 0.72, 0.94
 
 
+def readable(column: str) -> Column:
+    """The text of a file that has no error; else empty."""
+    return F.when(F.coalesce(F.col("error"), F.lit("")) == "", F.coalesce(F.col(column), F.lit(""))).otherwise("")
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """file_key, stem, title, preview and _content, the SHA-256 of the three texts: all that a file's scores depend on.
+
+    None of them is null, else Spark would compute them once more to filter nulls, before the files are dealt out.
+    """
+    own = files.where("file_key is not null").select("file_key", F.coalesce("stem", F.lit("")).alias("stem"), readable("title").alias("title"), readable("preview").alias("preview"))
+    lengths = [x for c in ("stem", "title") for x in (F.octet_length(c).cast("string"), F.lit(":"))]
+    return own.withColumn("_content", F.coalesce(F.sha2(F.concat(*lengths, "stem", "title", "preview"), 256), F.lit("")))
+
+
 def prepared_files(files: DataFrame) -> DataFrame:
-    tail = without_attachment_tail(nfkc(F.col("stem")))
-    read = F.coalesce(F.col("error"), F.lit("")) == ""
-    text = lambda c: F.when(read, F.coalesce(F.col(c), F.lit(""))).otherwise("")
-    out = files.withColumn("_tail", tail).where(F.col("_tail").isNotNull())
+    out = files.where("stem is not null").withColumn("_tail", without_attachment_tail(nfkc(F.col("stem"))))  # a filter on _tail would move below a distinct
     return out.select(
         "file_key",
         F.col("_tail").alias("stem"),
         keys_of(F.col("_tail")).alias("names"),
         keys_of(without_leading_ids(F.col("_tail"))).alias("core"),
-        title_key(text("title")).alias("title"),
-        title_key(text("preview")).alias("preview"),
-        F.upper(text("preview")).alias("preview_upper"),
+        title_key(readable("title")).alias("title"),
+        title_key(readable("preview")).alias("preview"),
+        F.upper(readable("preview")).alias("preview_upper"),
     )
 
 
@@ -105,7 +118,14 @@ def pair_scores(pairs: DataFrame, use_output_id: bool = False) -> DataFrame:
 
 
 def file_scores(files: DataFrame, outputs: DataFrame, use_output_id: bool = False, threshold: float = TITLES_DIFFER) -> DataFrame:
-    """file_key, output_key, score of all pairs from the threshold on."""
-    f, o = prepared_files(files), prepared_outputs(outputs)
+    """file_key, output_key, score of all pairs from the threshold on.
+
+    Files of one content are scored once and joined back. The prepared contents and outputs are written, as the joins of keys
+    read them many times; they are dealt out before, as Spark moves Arrow functions over a distinct below it, to all its rows.
+    """
+    own = with_content(files)
+    contents = own.drop("file_key").distinct().repartition("_content").withColumnRenamed("_content", "file_key").withColumn("error", F.lit(""))
+    f, o = materialise(prepared_files(contents)), materialise(prepared_outputs(outputs.repartition("output_key")))
     pairs = core_pairs(f, o).join(f, "file_key").join(o, "output_key")
-    return pair_scores(pairs, use_output_id).where(F.col("score") >= threshold)
+    scores = pair_scores(pairs, use_output_id).where(F.col("score") >= threshold).withColumnRenamed("file_key", "_content")
+    return own.select("file_key", "_content").join(scores, "_content").select("file_key", "output_key", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.score import file_scores
-from .common import Book, table
+from .common import Book, spread, table
 
 book = Book()
 
@@ -45,7 +45,7 @@ SELECT file_key, output_key, CAST(CASE WHEN in_stem THEN 1.0 ELSE best END AS DO
 def score_ladder_ids(spark, d):
     """Scores of files against the catalog with ids, id conflicts and title conflicts."""
     part = table(spark, d, "part")
-    files = part.selectExpr("p_partkey AS file_key", f"{STEM} AS stem".replace("VARCHAR", "STRING"), f"{TITLE} AS title", f"{PREVIEW} AS preview".replace("VARCHAR", "STRING"), "'' AS error")
+    files = spread(part).selectExpr("p_partkey AS file_key", f"{STEM} AS stem".replace("VARCHAR", "STRING"), f"{TITLE} AS title", f"{PREVIEW} AS preview".replace("VARCHAR", "STRING"), "'' AS error")
     outputs = part.select("p_name").distinct().selectExpr("p_name AS output_key", f"{ID} AS output_id".replace("VARCHAR", "STRING"), "p_name AS output_name", "CAST(array() AS ARRAY<STRING>) AS aliases")
     return file_scores(files, outputs, use_output_id=True).select("file_key", "output_key", F.col("score"))
 

@@ -56,3 +56,25 @@ def test_parentheses_of_any_depth(spark):
 
     assert [r[0] for r in rows.select(F.regexp_replace(without_parentheses(F.col("t")), " +", " ")).collect()] == ["a b", "plain", None, "a e (f", "(("]
     assert rows.select(title_key(F.col("t"))).first()[0] == "ab"
+
+
+def test_files_of_one_content_are_scored_once(spark, monkeypatch):
+    """Before, each of them was prepared for itself and scored in each of its pairs."""
+    from ledgerloom.operators import score
+
+    seen, prepared = [], score.prepared_files
+    monkeypatch.setattr(score, "prepared_files", lambda files: (seen.append(files.count()), prepared(files))[1])
+    texts = [("Risk", None, "", None), ("Risk", "", None, ""), ("Risk", "x", "", "unreadable"), ("RiskRegister", "Risk", "", ""), ("Ris", "kRisk", "", ""), (None, "RiskRegister", "", ""), ("", "RiskRegister", "", "")]
+    files = spark.createDataFrame([(f"{i}-{n}", *texts[i]) for i in range(len(texts)) for n in range(5)] + [(None, *texts[0])], FILES)
+    outputs = spark.createDataFrame([("a", "X-01", "RiskRegister", None), ("b", None, "Risk Register", [])], OUTPUTS)
+    found = sorted((r.file_key, r.output_key, r.score) for r in score.file_scores(files, outputs, use_output_id=True).collect())
+    assert seen == [4]  # the first three are one content, the last two another
+    assert found == sorted((f"{i}-{n}", o, s) for i, s in ((0, 0.86), (1, 0.86), (2, 0.86), (3, 0.97)) for n in range(5) for o in "ab")
+
+
+def test_keys_are_written_before_their_joins(spark, sf_dir):
+    """Before, the keys of all files were computed anew for each side of each join, in one task, and planned as often."""
+    from ledgerloom.plans import registry
+
+    plan = registry.QUERIES["score_ladder_ids"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # the ratio of titles alone
