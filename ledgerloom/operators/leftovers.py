@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.titles import composed_text
+from ..tables import materialise
 from .score import file_scores
 
 # Fixed values.
 FULL_FROM = 0.94
 CONVERTED = {".hwp": ".hwpx"}
+FILE_COLUMNS = ["file_key", "path", "stem", "title", "preview", "error", "project_title", "has_cover"]
 
 
 def path_key(path: Column) -> Column:
@@ -33,12 +35,13 @@ def chosen_paths(chosen: DataFrame) -> DataFrame:
 def leftover_updates(files: DataFrame, outputs: DataFrame, chosen: DataFrame, excluded: DataFrame, standard_title: str, threshold: float = FULL_FROM) -> DataFrame:
     """file_key, path, action ('full' or 'title_only'), output_key, score of the files left over that change.
 
-    Chosen and excluded paths go by anti-joins; then the files are scored once, with ids, and the best output (the least key of
-    equals) is a sum per file joined back, so the second branch is a column of the same rows. excluded: path.
+    Chosen and excluded paths go by anti-joins, and what is left is written; then the files are scored once, with ids, and
+    the best output (the least key of equals) is a sum per file joined back, so the second branch is a column of the same
+    rows. excluded: path.
     """
     gone = chosen_paths(chosen).union(excluded.select(path_key(F.col("path")).alias("_key"))).distinct()
-    first = files.withColumn("_key", path_key(F.col("path"))).groupBy("_key").agg(F.min_by(F.struct(*files.columns), "file_key").alias("f")).where("_key is not null")
-    left = first.join(gone, "_key", "left_anti").select("f.*")
+    first = files.withColumn("_key", path_key(F.col("path"))).groupBy("_key").agg(F.min_by(F.struct(*FILE_COLUMNS), "file_key").alias("f")).where("f.path is not null")
+    left = materialise(first.join(gone, "_key", "left_anti").select("f.*"))
     scored = file_scores(left.select("file_key", "stem", "title", "preview", "error"), outputs, use_output_id=True, threshold=threshold)
     best = scored.groupBy("file_key").agg(F.min_by(F.struct("output_key", "score"), F.struct(-F.col("score"), F.col("output_key"))).alias("b"))
     old = composed_text(F.coalesce("project_title", F.lit("")))

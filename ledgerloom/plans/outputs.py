@@ -111,10 +111,11 @@ SELECT file_key, path, CASE WHEN b.output_key IS NOT NULL THEN 'full' ELSE 'titl
 def leftovers_updated(spark, d):
     """Files without a chosen candidate: the whole update by the best output, or the project title alone."""
     part = table(spark, d, "part")
+    dealt = spread(part)
     spark_sql = lambda x: x.replace("VARCHAR", "STRING")
-    files = part.selectExpr("p_partkey AS file_key", f"{LEFT} AS path", f"{spark_sql(STEM)} AS stem", f"{TITLE} AS title", f"{spark_sql(PREVIEW)} AS preview", "'' AS error", "CASE p_size % 3 WHEN 0 THEN 'Standard  Project ' WHEN 1 THEN p_name ELSE '' END AS project_title", "p_size % 2 = 0 AS has_cover")
+    files = dealt.selectExpr("p_partkey AS file_key", f"{LEFT} AS path", f"{spark_sql(STEM)} AS stem", f"{TITLE} AS title", f"{spark_sql(PREVIEW)} AS preview", "'' AS error", "CASE p_size % 3 WHEN 0 THEN 'Standard  Project ' WHEN 1 THEN p_name ELSE '' END AS project_title", "p_size % 2 = 0 AS has_cover")
     outputs = part.select("p_name").distinct().selectExpr("p_name AS output_key", f"{spark_sql(ID)} AS output_id", "p_name AS output_name", "CAST(array() AS ARRAY<STRING>) AS aliases")
-    chosen = part.where("p_partkey % 4 = 0").selectExpr("upper(p_brand) || '/x.hwp' AS path", "p_partkey || '.hwpx' AS target_name").unionByName(part.where("p_partkey % 4 = 0").selectExpr(f"{LEFT} AS path", "CAST(NULL AS STRING) AS target_name"))
+    chosen = dealt.where("p_partkey % 4 = 0").selectExpr("upper(p_brand) || '/x.hwp' AS path", "p_partkey || '.hwpx' AS target_name").unionByName(dealt.where("p_partkey % 4 = 0").selectExpr(f"{LEFT} AS path", "CAST(NULL AS STRING) AS target_name"))
     excluded = part.where("p_partkey % 9 = 0").selectExpr(f"upper({LEFT}) AS path")
     return leftover_updates(files, outputs, chosen, excluded, "Standard Project")
 

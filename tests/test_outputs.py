@@ -155,3 +155,25 @@ def test_leftovers(spark):
     out = leftover_updates(files, outputs, chosen, spark.createDataFrame([], "path string"), "New site")
     assert {(r.file_key, r.action, r.output_key) for r in out.collect()} == {(3, "full", 1), (5, "title_only", None)}
     assert leftover_updates(files.limit(0), outputs, chosen, chosen.select("path"), "x").count() == 0
+
+
+def test_leftovers_are_dealt_out_and_written_once(spark, sf_dir, monkeypatch):
+    """Before, the files left over and their keys were computed anew for each join, all files of a small table in one task."""
+    from ledgerloom.operators import leftovers
+    from ledgerloom.plans import registry
+
+    plans, write = [], leftovers.materialise
+    monkeypatch.setattr(leftovers, "materialise", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    out = registry.QUERIES["leftovers_updated"](spark, sf_dir)
+    assert len(plans) == 1 and "Repartition 32, true" in plans[0] and "ArrowEvalPython" not in plans[0]
+    assert not [f for f in out.inputFiles() if "part.parquet" in f]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # the ratio of titles alone
+
+
+def test_leftovers_without_path_or_name(spark):
+    columns = "file_key int, path string, stem string, title string, preview string, error string, project_title string, has_cover boolean, more map<string, int>"
+    files = spark.createDataFrame([(1, None, "plan", "", "", "", "old", True, None), (2, "b/x", None, "plan", "MFDS-001", "", "old", True, {"a": 1}), (3, "b/y", "plan", "", "", "", "old", True, {})], columns)
+    outputs = spark.createDataFrame([(1, "MFDS-001", "plan", None)], "output_key int, output_id string, output_name string, aliases array<string>")
+    none = spark.createDataFrame([], "path string, target_name string")
+    found = {(r.file_key, r.action, r.output_key) for r in leftover_updates(files, outputs, none, none.select("path"), "New site").collect()}
+    assert found == {(2, "title_only", None), (3, "full", 1)}
