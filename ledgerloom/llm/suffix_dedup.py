@@ -3,16 +3,19 @@
 Candidates. In each window of LENGTH bytes the places with the least hash of GRAM bytes are anchors (winnowing): equal
 windows have equal anchors at equal offsets, so only one in some eighteen places has to be compared across documents. An
 anchor's context is the up to 2 * LENGTH - GRAM bytes that all windows over it span. Anchors are shuffled as packed
-arrays by gram hash. Where a smaller document holds the same context, the whole context is a repeat; contexts repeated
-inside one task's slice are settled there, so a passage found everywhere sends one anchor per slice.
+arrays by gram hash, in PASSES turns of which each takes a share of the grams, so that only a share is on disk at once.
+Where a smaller document holds the same context, the whole context is a repeat; contexts repeated inside one task's slice
+are settled there, so a passage found everywhere sends one anchor per slice.
 
-Longest previous factors. What is left are first contexts that share a gram with a different context of another document:
-ends of repeats, and chance. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
+Longest previous factors. What is left are first contexts. A window reaches at least SIDE bytes beyond its anchor's gram on
+one side, so only contexts whose gram and SIDE bytes before or behind it another document's first contexts have too can
+share a window: ends of repeats, and little chance, where grams alone meet by chance the more, the larger the corpus. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
 the suffixes whose first LENGTH bytes have a hash that another document has too: no other can have a factor that long. Along suffix order the previous and the next suffix of a smaller document are the earlier
 matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
 Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
 
-Documents are shuffled once by id (the exchange is used for both joins); everything else is in packed arrays.
+Documents are shuffled by id for each of two joins, the first of which ends with the factors written and its shuffles
+deleted; everything else is in packed arrays.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all; rows with one id never remove each other's bytes;
 repeated rows give repeated results; a null id counts as larger than every other; an empty table gives an empty result;
@@ -22,6 +25,7 @@ one very long text is one slice of work; ids are whole numbers (others fail the
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import bytes_of, mix, powers, prefix_sums, range_hash, slices
-from .common import drop_written, materialise, ship_package, written
+from .common import drop_written, materialise, ship_package, shuffles_deleted, written
 
 LENGTH = 50
 GRAM = 16
 DEPTH = 64  # suffixes are ordered by so many bytes, LENGTH or more
 BUCKET_BYTES = 8_000_000  # text whose anchors meet in one bucket, so that buckets grow in number, not in size
 REACH = LENGTH - GRAM  # an anchor's windows start at most so far before it
+SIDE = (REACH + 1) // 2  # and reach so far before or behind its gram at least
+PASSES = 2
 LAST = np.int64(2**63 - 1)
-PACKED = "bucket int, grams binary, contexts binary, owners binary, places binary, doc_ids binary, text_hashes binary"
+PACKED = "bucket int, grams binary, contexts binary, lefts binary, rights binary, counts binary, places binary, doc_ids binary, text_hashes binary"
 MARKS = "doc_id bigint, text_hash bigint, places array<int>, fetch boolean"
 FACTORS = "doc_id bigint, text_hash bigint, places array<int>, lengths array<int>"
 
@@ -76,15 +82,26 @@ def by_bucket(bucket: np.ndarray):
         yield int(bucket[part[0]]), part
 
 
-def pack_anchors(part: pa.RecordBatch, buckets: int):
-    """Rows of PACKED for a slice: anchors to compare, and (without grams) places already known as repeats."""
+def planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, so that the zeros of small numbers stand together."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def pack_anchors(part: pa.RecordBatch, buckets: int, turn: int = 0, turns: int = 1):
+    """Rows of PACKED for a slice and the grams of one turn: anchors to compare, and (without grams) places already known as repeats."""
     data, offsets = bytes_of(part.column("text"))
     ids, hashes = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "text_hash"))
     sums = prefix_sums(data)
     at, grams = anchors_of(data, offsets, sums)
+    at = at[(grams[at] >> np.uint64(32)) % np.uint64(buckets) % np.uint64(turns) == turn]
     owner = np.searchsorted(offsets, at, "right") - 1
     start, end = np.maximum(at - REACH, offsets[owner]), np.minimum(at + LENGTH, offsets[owner + 1])
     contexts = mix(range_hash(sums, start, end) + (at - start).astype(np.uint64))
+    left, right = (mix(range_hash(sums, np.maximum(at - a, offsets[owner]), np.minimum(at + GRAM + b, offsets[owner + 1]))) for a, b in ((SIDE, 0), (0, SIDE)))
     order = np.lexsort((ids[owner], contexts))
     new = np.ones(len(order), bool)
     new[1:] = np.diff(contexts[order]) != 0
@@ -97,23 +114,37 @@ def pack_anchors(part: pa.RecordBatch, buckets: int):
         own = np.flatnonzero(known == settled)
         for b, rows in by_bucket(bucket[own] if not settled else owner[own] % buckets):
             rows = own[rows]
-            docs, local = np.unique(owner[rows], return_inverse=True)
-            keys = (b"", b"") if settled else ((grams[at[rows]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), contexts[rows].tobytes())
-            yield (b, *keys, local.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), place[rows].tobytes(), ids[docs].tobytes(), hashes[docs].tobytes())
+            docs, counts = np.unique(owner[rows], return_counts=True)  # rows are in the order of their documents
+            sides = [(x[rows] >> np.uint64(48)).astype(np.uint16).tobytes() for x in (left, right)]
+            keys = (b"",) * 4 if settled else ((grams[at[rows]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), contexts[rows].tobytes(), *sides)
+            yield (b, *keys, planes(counts.astype(np.uint32)), planes(place[rows]), planes(ids[docs]), hashes[docs].tobytes())
 
 
 def unpack(table: pa.Table):
-    """Arrays gram, context, id, text hash, place of all anchors; the last three of settled places."""
-    open_, known = ([], [], [], [], []), ([], [], [])
-    for g, c, o, p, d, h in zip(*[table.column(x).to_pylist() for x in ("grams", "contexts", "owners", "places", "doc_ids", "text_hashes")], strict=True):
-        places = np.frombuffer(p, np.uint32)
-        owners = np.frombuffer(o, np.uint16 if len(o) == 2 * len(places) else np.uint32)
-        last = (np.frombuffer(d, np.int64)[owners], np.frombuffer(h, np.int64)[owners], places)
-        for to, x in zip(*((open_, (np.frombuffer(g, np.uint32), np.frombuffer(c, np.uint64), *last)) if g else (known, last)), strict=True):
+    """Arrays gram, context, left, right, id, text hash, place of all anchors; the last three of settled places."""
+    kinds = (np.uint32, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint32)
+    open_, known = tuple([] for _ in kinds), ([], [], [])
+    for *keys, n, p, d, h in zip(*[table.column(x.split()[0]).to_pylist() for x in PACKED.split(", ")[1:]], strict=True):
+        counts = from_planes(n, np.uint32)
+        last = (np.repeat(from_planes(d, np.int64), counts), np.repeat(np.frombuffer(h, np.int64), counts), from_planes(p, np.uint32))
+        first = [np.frombuffer(x, k) for x, k in zip(keys, kinds[:4], strict=True)]
+        for to, x in zip(*((open_, (*first, *last)) if keys[0] else (known, last)), strict=True):
             to.append(x)
-    kinds = (np.uint32, np.uint64, np.int64, np.int64, np.uint32)
     join = lambda lists, types: [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(lists, types, strict=True)]
-    return join(open_, kinds), join(known, kinds[2:])
+    return join(open_, kinds), join(known, kinds[4:])
+
+
+def held_by_others(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which of the keys another document has too."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.argsort(keys)
+    new = np.append(True, np.diff(keys[order]) != 0)
+    first = np.flatnonzero(new)
+    shared = np.minimum.reduceat(docs[order], first) != np.maximum.reduceat(docs[order], first)
+    held = np.zeros(len(keys), bool)
+    held[order] = shared[np.cumsum(new) - 1]
+    return held
 
 
 def mark_rows(ids, hashes, places, fetch: bool) -> pa.Table:
@@ -128,22 +159,23 @@ def mark_rows(ids, hashes, places, fetch: bool) -> pa.Table:
 
 
 def compare_contexts(table: pa.Table) -> pa.Table:
-    """For a bucket: repeats of a whole context, and (fetch) first contexts whose gram has other contexts elsewhere."""
-    (grams, contexts, ids, hashes, places), known = unpack(table)
+    """For a bucket: repeats of a whole context, and (fetch) first contexts that another one may share a window with.
+
+    If a smaller document shares a window, so does the first document of its context, so first contexts are enough.
+    """
+    (grams, contexts, left, right, ids, hashes, places), known = unpack(table)
     order = np.lexsort((ids, contexts, grams))
-    grams, contexts, ids, hashes, places = (x[order] for x in (grams, contexts, ids, hashes, places))
+    grams, contexts, left, right, ids, hashes, places = (x[order] for x in (grams, contexts, left, right, ids, hashes, places))
     new_gram = np.ones(len(ids), bool)
     new_gram[1:] = np.diff(grams) != 0
     new = new_gram.copy()
     new[1:] |= np.diff(contexts) != 0
     least = ids[new][np.cumsum(new) - 1] if len(ids) else ids
     repeat = ids > least
-    gram = np.cumsum(new_gram) - 1
-    n_contexts = np.bincount(gram, new)[gram] if len(ids) else ids
-    low, high = (np.full(new_gram.sum(), v, np.int64) for v in (LAST, -LAST))
-    np.minimum.at(low, gram, ids)
-    np.maximum.at(high, gram, ids)
-    fetch = ~repeat & (n_contexts > 1) & (low != high)[gram] if len(ids) else repeat
+    own = np.flatnonzero(~repeat)
+    fetch = np.zeros(len(ids), bool)
+    for side in (left, right):
+        fetch[own] |= held_by_others((np.cumsum(new_gram) << 16 | side)[own], ids[own])
     whole = [np.concatenate([x[repeat], y]) for x, y in zip((ids, hashes, places), known, strict=True)]
     return pa.concat_tables([mark_rows(*whole, False), mark_rows(ids[fetch], hashes[fetch], places[fetch], True)])
 
@@ -218,16 +250,7 @@ def longest_previous_factors(data: np.ndarray, start: np.ndarray, end: np.ndarra
 
 def come_again(data: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which of the LENGTH bytes at the given places have a hash that another document has too."""
-    if not len(start):
-        return np.zeros(0, bool)
-    hashes = range_hash(prefix_sums(data), start, start + LENGTH)
-    order = np.argsort(hashes)
-    new = np.append(True, np.diff(hashes[order]) != 0)
-    first = np.flatnonzero(new)
-    shared = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-    again = np.zeros(len(start), bool)
-    again[order] = shared[np.cumsum(new) - 1]
-    return again
+    return held_by_others(range_hash(prefix_sums(data), start, start + LENGTH), doc)
 
 
 def previous_factors(table: pa.Table) -> pa.Table:
@@ -293,18 +316,19 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    with shuffles_deleted(spark):
+        n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(4 * partitions, n_bytes // BUCKET_BYTES), 2**31 - 1)
 
     names = [x.split()[0] for x in PACKED.split(", ")]
-    packed = mapped(own, lambda part: pack_anchors(part, buckets), names, PACKED)
-    found = materialise(packed.groupBy("bucket").applyInArrow(compare_contexts, MARKS))
+    packed = [mapped(own, lambda part, turn=turn: pack_anchors(part, buckets, turn, PASSES), names, PACKED) for turn in range(PASSES)]
+    found = reduce(DataFrame.union, [materialise(p.groupBy("bucket").applyInArrow(compare_contexts, MARKS)) for p in packed])
 
     wanted = found.where("fetch").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
     asked = own.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
     kinds = "bucket int, data binary, lengths binary, ids binary, hashes binary, starts binary"
     contexts = mapped(asked, lambda part: pack_contexts(part, buckets), [x.split()[0] for x in kinds.split(", ")], kinds)
-    factors = contexts.groupBy("bucket").applyInArrow(previous_factors, FACTORS)
+    factors = materialise(contexts.groupBy("bucket").applyInArrow(previous_factors, FACTORS))
 
     none = F.lit(None).cast("array<int>")
     whole = found.where("not fetch").select("doc_id", "text_hash", F.col("places").alias("c"), none.alias("f"), none.alias("l"))
