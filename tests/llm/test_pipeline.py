@@ -122,3 +122,34 @@ def test_near_dedup_takes_its_candidates_from_fingerprints(spark, sf_dir, monkey
     monkeypatch.setattr(simhash, "fingerprint_groups", one_group)
     left = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
     assert len(seen) == 1 and sorted(r.doc_id for r in left) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("sampled, most", [(1, 1_000_000), (1, 0)])
+def test_counted_shingles_decide_no_group(spark, monkeypatch, sampled, most):
+    """The sample of common_shingles and its limit give an order of shingles only: with all counted or none, groups are those of all pairs."""
+    import random
+
+    from ledgerloom.llm import similar_sets
+
+    monkeypatch.setattr(similar_sets, "MAX_COMMON", most)
+    rng = random.Random(11)
+    texts = []
+    for k in range(10):
+        words = [f"q{rng.randrange(40)}" if k % 2 else f"u{k}x{i}" for i in range(90)]
+        for _ in range(5):
+            w = list(words)
+            for at in rng.sample(range(90), rng.randrange(4)):
+                w[at] = f"r{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    shingles = lambda t: {tuple(t.split(" ")[i : i + 5]) for i in range(86)}
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 10 < len(set(root)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = similar_sets.common_shingles(docs, 5, sampled, 1)[0]
+    assert (len(counted) == 0) == (sampled > 1 or most == 0) and len(counted) <= most
+    found = similar_sets.near_duplicates(docs, shingle=5, sampled=sampled, min_sample=1)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == root
