@@ -7,9 +7,10 @@ arrays by gram hash, in PASSES turns of which each takes a share of the grams, s
 Where a smaller document holds the same context, the whole context is a repeat; contexts repeated inside one task's slice
 are settled there, so a passage found everywhere sends one anchor per slice.
 
-Longest previous factors. What is left are first contexts. A window reaches at least SIDE bytes beyond its anchor's gram on
-one side, so only contexts whose gram and SIDE bytes before or behind it another document's first contexts have too can
-share a window: ends of repeats, and little chance, where grams alone meet by chance the more, the larger the corpus. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
+Longest previous factors. What is left are first contexts. The windows over an anchor are of SPANS kinds, by where they start;
+those of a kind have some 42 bytes in common, so only contexts of which another document's first contexts have the bytes of
+one kind too can share a window: ends of repeats, and little chance, where grams alone meet by chance the more, the larger
+the corpus. Their bytes are fetched, and per bucket of grams a suffix array (to DEPTH bytes) is built of
 the suffixes whose first LENGTH bytes have a hash that another document has too: no other can have a factor that long. Along suffix order the previous and the next suffix of a smaller document are the earlier
 matches; the longer of the two common beginnings is the longest previous factor (up to DEPTH bytes, inside both contexts).
 Factors of LENGTH bytes or more go from the later copy; of factors that another one covers nothing is written.
@@ -40,10 +41,10 @@ GRAM = 16
 DEPTH = 64  # suffixes are ordered by so many bytes, LENGTH or more
 BUCKET_BYTES = 8_000_000  # text whose anchors meet in one bucket, so that buckets grow in number, not in size
 REACH = LENGTH - GRAM  # an anchor's windows start at most so far before it
-SIDE = (REACH + 1) // 2  # and reach so far before or behind its gram at least
+SPANS = [(low, min(low + 8, REACH)) for low in range(0, REACH + 1, 9)]  # kinds of windows: they start so far before an anchor
 PASSES = 2
 LAST = np.int64(2**63 - 1)
-PACKED = "bucket int, grams binary, contexts binary, lefts binary, rights binary, counts binary, places binary, doc_ids binary, text_hashes binary"
+PACKED = "bucket int, grams binary, contexts binary, spans binary, counts binary, places binary, doc_ids binary, text_hashes binary"
 MARKS = "doc_id bigint, text_hash bigint, places array<int>, fetch boolean"
 FACTORS = "doc_id bigint, text_hash bigint, places array<int>, lengths array<int>"
 
@@ -101,7 +102,7 @@ def pack_anchors(part: pa.RecordBatch, buckets: int, turn: int = 0, turns: int =
     owner = np.searchsorted(offsets, at, "right") - 1
     start, end = np.maximum(at - REACH, offsets[owner]), np.minimum(at + LENGTH, offsets[owner + 1])
     contexts = mix(range_hash(sums, start, end) + (at - start).astype(np.uint64))
-    left, right = (mix(range_hash(sums, np.maximum(at - a, offsets[owner]), np.minimum(at + GRAM + b, offsets[owner + 1]))) for a, b in ((SIDE, 0), (0, SIDE)))
+    spans = np.stack([range_hash(sums, np.maximum(at - low, start), np.minimum(at - high + LENGTH, end)) >> np.uint64(48) for low, high in SPANS]).astype(np.uint16)
     order = np.lexsort((ids[owner], contexts))
     new = np.ones(len(order), bool)
     new[1:] = np.diff(contexts[order]) != 0
@@ -115,23 +116,22 @@ def pack_anchors(part: pa.RecordBatch, buckets: int, turn: int = 0, turns: int =
         for b, rows in by_bucket(bucket[own] if not settled else owner[own] % buckets):
             rows = own[rows]
             docs, counts = np.unique(owner[rows], return_counts=True)  # rows are in the order of their documents
-            sides = [(x[rows] >> np.uint64(48)).astype(np.uint16).tobytes() for x in (left, right)]
-            keys = (b"",) * 4 if settled else ((grams[at[rows]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), contexts[rows].tobytes(), *sides)
+            keys = (b"",) * 3 if settled else ((grams[at[rows]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), contexts[rows].tobytes(), spans[:, rows].T.tobytes())
             yield (b, *keys, planes(counts.astype(np.uint32)), planes(place[rows]), planes(ids[docs]), hashes[docs].tobytes())
 
 
 def unpack(table: pa.Table):
-    """Arrays gram, context, left, right, id, text hash, place of all anchors; the last three of settled places."""
-    kinds = (np.uint32, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint32)
+    """Arrays gram, context, spans (a row for each), id, text hash, place of all anchors; the last three of settled places."""
+    kinds = (np.uint32, np.uint64, (np.uint16, len(SPANS)), np.int64, np.int64, np.uint32)
     open_, known = tuple([] for _ in kinds), ([], [], [])
     for *keys, n, p, d, h in zip(*[table.column(x.split()[0]).to_pylist() for x in PACKED.split(", ")[1:]], strict=True):
         counts = from_planes(n, np.uint32)
         last = (np.repeat(from_planes(d, np.int64), counts), np.repeat(np.frombuffer(h, np.int64), counts), from_planes(p, np.uint32))
-        first = [np.frombuffer(x, k) for x, k in zip(keys, kinds[:4], strict=True)]
+        first = [np.frombuffer(x, k) for x, k in zip(keys, kinds[:3], strict=True)]
         for to, x in zip(*((open_, (*first, *last)) if keys[0] else (known, last)), strict=True):
             to.append(x)
     join = lambda lists, types: [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(lists, types, strict=True)]
-    return join(open_, kinds), join(known, kinds[4:])
+    return join(open_, kinds), join(known, kinds[3:])
 
 
 def held_by_others(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -163,9 +163,9 @@ def compare_contexts(table: pa.Table) -> pa.Table:
 
     If a smaller document shares a window, so does the first document of its context, so first contexts are enough.
     """
-    (grams, contexts, left, right, ids, hashes, places), known = unpack(table)
+    (grams, contexts, spans, ids, hashes, places), known = unpack(table)
     order = np.lexsort((ids, contexts, grams))
-    grams, contexts, left, right, ids, hashes, places = (x[order] for x in (grams, contexts, left, right, ids, hashes, places))
+    grams, contexts, spans, ids, hashes, places = (x[order] for x in (grams, contexts, spans, ids, hashes, places))
     new_gram = np.ones(len(ids), bool)
     new_gram[1:] = np.diff(grams) != 0
     new = new_gram.copy()
@@ -174,8 +174,8 @@ def compare_contexts(table: pa.Table) -> pa.Table:
     repeat = ids > least
     own = np.flatnonzero(~repeat)
     fetch = np.zeros(len(ids), bool)
-    for side in (left, right):
-        fetch[own] |= held_by_others((np.cumsum(new_gram) << 16 | side)[own], ids[own])
+    for span in spans[own].T:
+        fetch[own] |= held_by_others(np.cumsum(new_gram)[own] << 16 | span, ids[own])
     whole = [np.concatenate([x[repeat], y]) for x, y in zip((ids, hashes, places), known, strict=True)]
     return pa.concat_tables([mark_rows(*whole, False), mark_rows(ids[fetch], hashes[fetch], places[fetch], True)])
 
